@@ -12,3 +12,11 @@ catalog     the named queries and their SQL cross-checks
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions of this package travel to the executors inside the task, so
+# the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rules_and_trust", "texts")
+MODULES = ("rules_and_trust", "texts", "statistics")
 
 
 def _modules():
