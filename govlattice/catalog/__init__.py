@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rules_and_trust", "texts", "statistics")
+MODULES = ("rules_and_trust", "texts", "statistics", "audit_trail")
 
 
 def _modules():
