@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rules_and_trust", "texts", "statistics", "audit_trail", "knowledge")
+MODULES = ("rules_and_trust", "texts", "statistics", "audit_trail", "knowledge", "legal")
 
 
 def _modules():
