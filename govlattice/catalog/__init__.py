@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rules_and_trust", "texts", "statistics", "audit_trail", "knowledge", "legal")
+MODULES = (
+    "rules_and_trust",
+    "texts",
+    "statistics",
+    "audit_trail",
+    "knowledge",
+    "legal",
+    "models",
+)
 
 
 def _modules():

@@ -139,3 +139,47 @@ def quantile_bucket(
     # Count of cut points below the value; nulls sort first.
     at = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     return joined.withColumn(name, at).drop("_cuts")
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, quantiles: dict[str, float], buckets: int = 256
+) -> DataFrame:
+    """One row with exact, linearly interpolated quantiles under the given names.
+
+    The built-in exact percentile keeps every distinct value in one place. Here
+    values are counted, cumulated in two levels, and only the two values around
+    each rank are picked.
+    """
+    counted = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    ranked = running_totals(
+        quantile_bucket(counted, [], "_v", buckets, "_b"), [], ["_v"], "_b", ["_c"]
+    )
+    # One row: a global aggregate.
+    total = F.broadcast(counted.agg(F.sum("_c").alias("_n")))
+    rows = ranked.join(total)
+    picks = []
+    for name, q in quantiles.items():
+        at = (F.col("_n") - 1) * F.lit(float(q))
+        for tag, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picks.append(F.min(F.when(F.col("cum__c") >= rank + 1, F.col("_v"))).alias(f"{name}_{tag}"))
+    picked = rows.agg(*picks, F.first("_n").alias("_n"))
+    out = []
+    for name, q in quantiles.items():
+        at = (F.col("_n") - 1) * F.lit(float(q))
+        part = at - F.floor(at)
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        out.append((lo + (hi - lo) * part).alias(name))
+    return picked.select(*out)
+
+
+def nth_smallest(df: DataFrame, value: str, n: int, buckets: int = 256) -> DataFrame:
+    """One row ``threshold``: the n-th smallest value (n from 1)."""
+    counted = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_totals(
+        quantile_bucket(counted, [], "_v", buckets, "_b"), [], ["_v"], "_b", ["_c"]
+    )
+    return ranked.agg(F.min(F.when(F.col("cum__c") >= n, F.col("_v"))).alias("threshold"))
