@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlattice.functions.scale import with_neighbours
-from govlattice.functions.text import is_blank, pattern
+from govlattice.functions.text import is_blank, pattern, swap
 from govlattice.rules.prompts import (
     PROMPT_RULES,
     SAFE_THRESHOLD,
@@ -34,7 +34,7 @@ def zero_width_count(text: Column) -> Column:
 
 def caseless(text: Column) -> Column:
     """Lower case plus the odd letters that match i, k and s without case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, "[İı]", "i"), "ſ", "s"))
+    return F.lower(swap(text, ("İ", "i"), ("ı", "i"), ("ſ", "s")))
 
 
 def prompt_findings(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,9 +61,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once into the shared checkpoint folder and go on from the files.
+
+    The files outlive any executor, so nothing before them is ever computed
+    again; unlike an eager ``checkpoint()`` the last stage runs only once.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/govlattice-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlattice.functions.text import strip_regex
+from govlattice.functions.text import strip
 from govlattice.operators.personal_data import detect_personal_data
 from govlattice.session import bounded_rows
 
@@ -41,8 +41,8 @@ def split_front_matter(raw: Column) -> tuple[Column, Column]:
     def entry(line: Column) -> Column:
         colon = F.instr(line, ":")
         return F.struct(
-            F.lower(strip_regex(F.substring(line, F.lit(1), colon - 1))).alias("key"),
-            strip_regex(F.substring(line, colon + 1, F.length(line))).alias("value"),
+            F.lower(strip(F.substring(line, F.lit(1), colon - 1))).alias("key"),
+            strip(F.substring(line, colon + 1, F.length(line))).alias("value"),
         )
 
     entries = F.transform(lines, entry)
@@ -52,8 +52,8 @@ def split_front_matter(raw: Column) -> tuple[Column, Column]:
             F.slice(entries, i + 2, F.size(entries) + 1), lambda later: later["key"] == e["key"]
         ),
     )
-    body = strip_regex(rest)
-    return F.map_from_entries(last), F.when(body == "", strip_regex(raw)).otherwise(body)
+    body = strip(rest)
+    return F.map_from_entries(last), F.when(body == "", strip(raw)).otherwise(body)
 
 
 def parse_corpus(files: DataFrame, raw: str = "raw") -> DataFrame:
@@ -76,9 +76,9 @@ def load_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def indexing_text(text: Column, tema: Column) -> Column:
     """Text a chunk is indexed by: topic first, disclaimer lines left out."""
-    lines = F.filter(F.split(text, "\n"), lambda l: ~strip_regex(l).startswith(DISCLAIMER))
-    body = strip_regex(F.array_join(lines, "\n"))
-    return strip_regex(F.concat(F.coalesce(tema, F.lit("")), F.lit("\n\n"), body))
+    lines = F.filter(F.split(text, "\n"), lambda l: ~strip(l).startswith(DISCLAIMER))
+    body = strip(F.array_join(lines, "\n"))
+    return strip(F.concat(F.coalesce(tema, F.lit("")), F.lit("\n\n"), body))
 
 
 def chunk_id(position: Column, article: Column) -> Column:

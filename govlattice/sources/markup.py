@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from govlattice.functions.text import strip, swap
+
 # Which markup disappears with its content and which breaks a line.
 DROPPED = r"(?is)<(script|style|head|title)\b.*?</\1\s*>"
 COMMENT = r"(?s)<!--.*?-->"
@@ -50,7 +52,7 @@ def legal_text(df: DataFrame, markup: str, name: str = "text") -> DataFrame:
     """Add the plain text of a markup column, one block per line."""
     # Python's and HTML's idea of white space includes the separator controls.
     space = r"(?U)[\s\x1E\x1F]+"
-    t = F.translate(F.col(markup), "\x1c\x1d\x00", "“”")
+    t = swap(F.col(markup), ("\x1c", "“"), ("\x1d", "”"), ("\x00", ""))
     t = F.regexp_replace(t, DROPPED, " ")
     t = F.regexp_replace(t, COMMENT, " ")
     # Struck-out passages are rare; most markup skips the six passes.
@@ -70,9 +72,7 @@ def legal_text(df: DataFrame, markup: str, name: str = "text") -> DataFrame:
     t = F.regexp_replace(F.translate("_t", " ", " "), r"[ \t]+", " ")
     lines = F.transform(
         F.split(t, "\n"),
-        lambda l: F.regexp_replace(
-            F.regexp_replace(l, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", ""), r"^Art \.", "Art."
-        ),
+        lambda l: F.regexp_replace(strip(l), r"^Art \.", "Art."),
     )
     return staged.withColumn(name, F.array_join(F.filter(lines, lambda l: l != ""), "\n")).drop(
         "_t"
