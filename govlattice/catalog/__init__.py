@@ -12,6 +12,7 @@ MODULES = (
     "knowledge",
     "legal",
     "models",
+    "reports",
 )
 
 

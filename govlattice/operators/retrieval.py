@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from govlattice.functions.text import words
+from govlattice.session import bounded_rows
+from govlattice.sources.corpus import indexing_text
 
 QUERIES_PER_PASS = 512
 HASH_SPACE = 65_536
@@ -259,3 +261,72 @@ def retrieve(
     idf = fit_idf(corpus, text)
     index = build_text_index(corpus, item, text, idf)
     return search_index(index, queries, idf, item, k, query_id, query_text)
+
+
+SMALL_CORPUS = 4_096
+
+
+def nearest_of_small_corpus(
+    rows: DataFrame, corpus: DataFrame, text: str, k: int = 3, name: str = "nearest"
+) -> DataFrame:
+    """Add the k best passages of a small corpus to every row of a large table.
+
+    The passages (checked to be few) travel with the task; rows stay where they
+    are. ``corpus``: source, article, text, and optionally tema, which then
+    leads the text a passage is found by.
+    """
+    chunk = F.col("text")
+    if "tema" in corpus.columns:
+        chunk = indexing_text(chunk, F.col("tema"))
+    held = bounded_rows(
+        corpus.select("source", "article", "text", term_buckets(chunk).alias("_b")).orderBy("source"),
+        SMALL_CORPUS,
+        "corpus",
+    )
+    n = len(held)
+    counts = np.zeros(HASH_SPACE)
+    for r in held:
+        counts[np.unique(np.asarray(r["_b"], dtype=np.int64))] += 1
+    idf = np.log((n + 1.0) / (counts + 1.0))
+    used = np.flatnonzero(counts)
+    column = np.full(HASH_SPACE, -1, dtype=np.int32)
+    column[used] = np.arange(used.size)
+    matrix = np.zeros((n, used.size))
+    for i, r in enumerate(held):
+        at, w = _weights(r["_b"], idf)
+        matrix[i, column[at]] = w
+    keep = max(1, min(k, n)) if n else 0
+
+    def best(buckets: pd.Series) -> pd.Series:
+        out = []
+        for b in buckets:
+            at, w = _weights(b, idf)
+            hit = column[at] >= 0
+            scores = np.round(matrix[:, column[at][hit]] @ w[hit], ROUND)
+            order = np.argsort(-scores, kind="stable")[:keep]
+            out.append([{"at": int(i), "score": float(scores[i])} for i in order])
+        return pd.Series(out)
+
+    picked = F.pandas_udf(best, "array<struct<at:int,score:double>>")(term_buckets(F.col(text)))
+    passages = F.array(
+        *[
+            F.struct(
+                F.lit(r["source"]).alias("source"),
+                F.lit(r["article"]).cast("string").alias("article"),
+                F.lit(r["text"]).alias("text"),
+            )
+            for r in held
+        ]
+    ).cast("array<struct<source:string,article:string,text:string>>")
+
+    def passage(p: Column) -> Column:
+        chosen = F.get(passages, p["at"])
+        return F.struct(
+            chosen["source"].alias("source"),
+            chosen["article"].alias("article"),
+            chosen["text"].alias("text"),
+            F.round(p["score"], 4).alias("score"),
+        )
+
+    out = rows.withColumn("_picked", picked)
+    return out.withColumn(name, F.transform("_picked", passage)).drop("_picked")
