@@ -8,7 +8,7 @@ from govlattice.catalog.common import LETTER
 from govlattice.operators import graph as G
 from govlattice.operators import retrieval as R
 from govlattice.operators.personal_data import detect_personal_data
-from govlattice.session import table
+from govlattice.session import cut_lineage, table
 from govlattice.sources import corpus as C
 from govlattice.sources import markup
 from govlattice.sources.synthetic import with_person
@@ -121,7 +121,7 @@ def _centroids(spark, base):
        d AS (SELECT q.label, x.vec_id, sum(q.m * x.x) AS dp FROM q JOIN x USING (i) GROUP BY 1, 2),
        s AS (SELECT d.label, d.vec_id, round(dp / (qn.n * vn.n), 6) AS score FROM d JOIN qn USING (label) JOIN vn USING (vec_id)),
        r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s)
-       SELECT label::BIGINT AS query_id, vec_id, rank::INT AS rank, round(score, 4) AS score FROM r WHERE rank <= 5""",
+       SELECT label::BIGINT AS query_id, vec_id, rank::INT AS rank, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score FROM r WHERE rank <= 5""",
 )
 def nearest_to_label_centroids(spark, base):
     corpus = table(spark, base, "embeddings").select("vec_id", "embedding")
@@ -143,7 +143,7 @@ TFIDF_SQL = f"""WITH tok AS (SELECT 'd' AS side, doc_id AS id, unnest(regexp_ext
     + """, s AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(q.w * d.w), 6) AS score
           FROM u q JOIN u d ON q.b = d.b AND q.side = 'q' AND d.side = 'd' GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
-        SELECT query_id, doc_id, rank::INT AS rank, round(score, 4) AS score FROM r WHERE rank <= 3""",
+        SELECT query_id, doc_id, rank::INT AS rank, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score FROM r WHERE rank <= 3""",
 )
 def passage_retrieval(spark, base):
     """For every benchmark passage the three most similar documents."""
@@ -244,7 +244,7 @@ def related_articles(spark, base):
 def shortest_article_paths(spark, base):
     """From every article to one fixed other, at most four mentions away."""
     corpus = articles(spark, base)
-    edges = G.mention_edges(corpus)
+    edges = cut_lineage(G.mention_edges(corpus))
     # Articles without mentions start no path.
     pairs = table(spark, base, "orders").select(
         F.expr("concat('art_', o_orderkey)").alias("src"),

@@ -121,7 +121,7 @@ REF_SQL = TFIDF_SQL.replace("side = 'd' GROUP BY 1)", "side = 'q' GROUP BY 1)").
           FROM u q JOIN u d ON q.b = d.b AND q.side = 'q' AND d.side = 'd' GROUP BY 1, 2),
         a AS (SELECT doc_id, item_id, coalesce(score, 0) AS score FROM (SELECT doc_id, item_id FROM documents, benchmark) g LEFT JOIN s USING (doc_id, item_id)),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rank FROM a)
-        SELECT doc_id, item_id, rank::INT AS rank, round(score, 4)::DOUBLE AS score FROM r WHERE rank <= 3""",
+        SELECT doc_id, item_id, rank::INT AS rank, round(score::DECIMAL(18, 6), 4)::DOUBLE AS score FROM r WHERE rank <= 3""",
 )
 def documents_to_passages(spark, base):
     """For every document the three most similar benchmark passages."""

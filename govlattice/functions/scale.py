@@ -17,6 +17,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once per row.
+
+    Spark copies the expression of a plain column into filters that move below
+    it. Passing an expensive value through a one-element generator stops that.
+    """
+    if name in df.columns:
+        df = df.drop(name)
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -118,6 +129,19 @@ def running_totals(
     ).drop(*[f"_before_{v}" for v in values])
 
 
+def _cuts_below(cuts: Column, value: Column, step: int) -> Column:
+    """Number of sorted cut points below a value, in two short scans."""
+    marks = F.transform(
+        F.sequence(F.lit(1), F.floor(F.size(cuts) / step).cast("int")),
+        lambda i: F.get(cuts, i * step - 1),
+    )
+    passed = F.size(F.filter(marks, lambda c: c < value)) * step
+    rest = F.slice(cuts, passed + 1, F.lit(step))
+    found = passed + F.size(F.filter(rest, lambda c: c < value))
+    # A key without values has no cut points.
+    return F.when(F.size(cuts) >= step, found).otherwise(0)
+
+
 def quantile_bucket(
     df: DataFrame, keys: Sequence[str], value: str, buckets: int = 256, name: str = "bucket"
 ) -> DataFrame:
@@ -136,9 +160,8 @@ def quantile_bucket(
     else:
         # One row by construction: a global aggregate.
         joined = df.join(F.broadcast(cuts))
-    # Count of cut points below the value; nulls sort first.
-    at = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return joined.withColumn(name, at).drop("_cuts")
+    step = max(1, int(buckets**0.5))
+    return joined.withColumn(name, _cuts_below(F.col("_cuts"), F.col(value), step)).drop("_cuts")
 
 
 def exact_quantiles(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from govlattice.functions.scale import pin
 from govlattice.functions.text import (
     digits_only,
     fold,
@@ -290,16 +291,14 @@ def _personal_candidates(text: Column, lowered: Column) -> Column:
 def detect_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``pii`` (all findings by position) and ``has_sensitive``.
 
-    Runs row by row inside the JVM: no shuffle, no Python worker. Each step is
-    its own projection because later steps read the earlier arrays repeatedly.
+    Runs row by row inside the JVM: no shuffle, no Python worker. The costly
+    arrays are pinned because later steps read them repeatedly.
     """
     safe = F.coalesce(F.col(text), F.lit(""))
-    staged = (
-        df.withColumn("_lower", F.lower(safe))
-        .withColumn("_candidates", _personal_candidates(safe, F.col("_lower")))
-        .withColumn("_mentions", _sensitive(safe, F.col("_lower")))
-        .withColumn("_resolved", resolve_overlaps(F.col("_candidates")))
-    )
+    staged = df.withColumn("_lower", F.lower(safe))
+    staged = pin(staged, "_candidates", _personal_candidates(safe, F.col("_lower")))
+    staged = pin(staged, "_mentions", _sensitive(safe, F.col("_lower")))
+    staged = staged.withColumn("_resolved", resolve_overlaps(F.col("_candidates")))
 
     # Sorted by start; at equal starts personal spans come before mentions and
     # mentions keep the order of their keyword list.
@@ -313,7 +312,7 @@ def detect_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
 
     ordered = F.sort_array(F.transform(F.concat("_resolved", "_mentions"), by_position))
     return (
-        staged.withColumn("pii", F.transform(ordered, finding))
+        pin(staged, "pii", F.transform(ordered, finding))
         .withColumn("has_sensitive", F.size("_mentions") > 0)
         .drop("_lower", "_candidates", "_mentions", "_resolved")
     )

@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from govlattice.functions.scale import pin
 from govlattice.rules.levels import DECISION_STATUSES, RISK_LEVELS, rank_of
 from govlattice.rules.policies import (
     AGENTS,
@@ -148,7 +149,8 @@ def evaluate_policies(
     name: str = "decisions",
 ) -> DataFrame:
     """Add the array of decisions; a scenario no policy speaks to keeps an empty one."""
-    return scenarios.withColumn(
+    return pin(
+        scenarios,
         name,
         decisions_column(
             POLICIES if policies is None else policies,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlattice.functions.scale import with_neighbours
+from govlattice.functions.scale import pin, with_neighbours
 from govlattice.functions.text import is_blank, pattern, swap
 from govlattice.rules.prompts import (
     PROMPT_RULES,
@@ -80,9 +80,9 @@ def prompt_score(findings: Column) -> Column:
 def scan_prompts(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Add ``findings``, ``score`` and ``is_safe`` for a text column."""
     findings, score = f"{prefix}findings", f"{prefix}score"
+    lowered = df.withColumn("_lowered", caseless(F.col(text)))
     return (
-        df.withColumn("_lowered", caseless(F.col(text)))
-        .withColumn(findings, prompt_findings(F.col(text), F.col("_lowered")))
+        pin(lowered, findings, prompt_findings(F.col(text), F.col("_lowered")))
         .drop("_lowered")
         .withColumn(score, prompt_score(F.col(findings)))
         .withColumn(f"{prefix}is_safe", F.col(score) >= SAFE_THRESHOLD)

@@ -34,8 +34,24 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Tables whose rows are expensive to process for their size.
+HEAVY_TABLES = ("documents", "pages", "conversations", "orders")
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}.parquet")
+    df = spark.read.parquet(f"{base}/{name}.parquet")
+    return spread(df) if name in HEAVY_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-bound work on an input with few partitions.
+
+    A file with one row group is one task, however many cores are free. Only an
+    input with fewer partitions than cores is redistributed, which is small by
+    that very fact; a large input is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
