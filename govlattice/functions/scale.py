@@ -55,7 +55,9 @@ def with_neighbours(
     if preceding:
         copies.append(F.when(offset >= chunk - preceding, home + 1))
     out = df.withColumn("_home", home).withColumn(
-        "_chunk", F.explode(F.array_compact(F.array(*copies)))
+        # Outer: a row without a position has no neighbours but stays.
+        "_chunk",
+        F.explode_outer(F.array_compact(F.array(*copies))),
     )
     window = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     added = {}
@@ -63,7 +65,7 @@ def with_neighbours(
         added |= {f"{c}_next{i}": F.lead(c, i).over(window) for c in columns}
     for i in range(1, preceding + 1):
         added |= {f"{c}_prev{i}": F.lag(c, i).over(window) for c in columns}
-    return out.withColumns(added).filter("_chunk = _home").drop("_chunk", "_home")
+    return out.withColumns(added).filter("_chunk <=> _home").drop("_chunk", "_home")
 
 
 def _bucket_offsets(df: DataFrame, keys: Sequence[str], bucket: str, totals: dict) -> DataFrame:
