@@ -131,12 +131,11 @@ def running_totals(
     ).drop(*[f"_before_{v}" for v in values])
 
 
-def _cuts_below(cuts: Column, value: Column, step: int) -> Column:
-    """Number of sorted cut points below a value, in two short scans."""
-    marks = F.transform(
-        F.sequence(F.lit(1), F.floor(F.size(cuts) / step).cast("int")),
-        lambda i: F.get(cuts, i * step - 1),
-    )
+def _cuts_below(cuts: Column, marks: Column, value: Column, step: int) -> Column:
+    """Number of sorted cut points below a value, in two short scans.
+
+    ``marks`` is every ``step``-th cut point.
+    """
     passed = F.size(F.filter(marks, lambda c: c < value)) * step
     rest = F.slice(cuts, passed + 1, F.lit(step))
     found = passed + F.size(F.filter(rest, lambda c: c < value))
@@ -155,15 +154,17 @@ def quantile_bucket(
     built on them do not.
     """
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    step = max(1, int(buckets**0.5))
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, steps, 10 * buckets).alias("_cuts"))
+    cuts = cuts.withColumn("_marks", F.filter("_cuts", lambda c, i: (i + 1) % step == 0))
     if keys:
         on = [df[k].eqNullSafe(cuts[k]) for k in keys]
-        joined = df.join(cuts, on, "left").select(df["*"], cuts["_cuts"])
+        joined = df.join(cuts, on, "left").select(df["*"], cuts["_cuts"], cuts["_marks"])
     else:
         # One row by construction: a global aggregate.
         joined = df.join(F.broadcast(cuts))
-    step = max(1, int(buckets**0.5))
-    return joined.withColumn(name, _cuts_below(F.col("_cuts"), F.col(value), step)).drop("_cuts")
+    at = _cuts_below(F.col("_cuts"), F.col("_marks"), F.col(value), step)
+    return joined.withColumn(name, at).drop("_cuts", "_marks")
 
 
 def exact_quantiles(
