@@ -230,8 +230,8 @@ def redacted_documents(spark, base):
 
 @query("governed_memory")
 def governed_memory(spark, base):
-    """User turns stored as memory items that live a number of days."""
-    turns = table(spark, base, "conversations").filter("role = 'user'")
+    """Turns stored as memory items that live a number of days."""
+    turns = table(spark, base, "conversations")
     items = turns.select(
         "conv_id",
         "turn",
