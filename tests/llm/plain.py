@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import public_tokenizers
 import xxhash
@@ -109,3 +111,68 @@ def repeats(texts: list[str | None], least: int = 400) -> list[tuple[int, list[t
         spans = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
         out.append((len(r), spans, bytes(b for b, g in zip(r, gone) if not g)))
     return out
+
+
+def url_verdict(url: str | None, rules: list[tuple[str, str, str]], default: str = "allow") -> tuple:
+    m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+    host, path = (lower(m[1]), m[2]) if m else ("", "")
+    best = None
+    for verdict, rule_host, rule_path in rules:
+        if ("." + host).endswith("." + rule_host) and path.startswith(rule_path):
+            if best is None or len(rule_host + rule_path) > len(best[0]):
+                best = rule_host + rule_path, verdict
+    return host, path, *(best or (None, default))
+
+
+class _Article(HTMLParser):
+    """Text of the article element alone; blocks end at block tags."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks, self.words = 0, [], []
+
+    def end(self):
+        if line := " ".join("".join(self.words).split()):
+            self.blocks.append(line)
+        self.words = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.depth += 1
+        elif tag == "br":
+            self.words.append(" ")
+        elif tag in ("p", "h1", "li", "div"):
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "li", "div", "article"):
+            self.end()
+        if tag == "article":
+            self.depth -= 1
+
+    def handle_data(self, data):
+        if self.depth:
+            self.words.append(data)
+
+
+def article(text: str | None) -> str:
+    parser = _Article()
+    parser.feed(text or "")
+    parser.close()
+    parser.end()
+    return "\n".join(parser.blocks)
+
+
+def unigrams(docs: list, scored: list) -> dict:
+    """Base scores of ``scored`` by counts over ``docs`` that are not held out."""
+    count: Counter = Counter()
+    for i, text in docs:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update([*WORD.findall(lower(text or "")), " end"])
+    total, kinds = sum(count.values()), len(count)
+    out = {}
+    for i, text in scored:
+        words = [*WORD.findall(lower(text or "")), " end"]
+        base = sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in words)
+        out[i, text] = len(words), sum(count[w] > 0 for w in words), total, base
+    return out
