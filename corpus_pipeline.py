@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlattice.llm.common import fresh_folder, read
+from govlattice.llm.common import fresh_folder, read, whole
 from govlattice.llm.decontamination import find_contamination
 from govlattice.llm.packing import pack_documents
 from govlattice.llm.quality import keep_good
@@ -28,20 +28,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 400 bytes and more that occur elsewhere too."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = remove_repeats(docs, carry=others, as_text=True)
-    return cut.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}).select(*docs.columns)
+    rows = docs.select("doc_id", "text", whole(docs).alias("row"))
+    cut = remove_repeats(rows, carry=["row"], as_text=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def benchmark_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = keyed.select(F.struct(F.col("doc_id").alias("id"), F.col("_k").alias("k")).alias("row"), "text")
-    found = find_contamination(rows, items, id_column="row").filter("contaminated")
-    bad = found.select(F.col("row.id").alias("_bad_id"), F.col("row.k").alias("_bad_k")).distinct()
-    same = keyed["doc_id"].eqNullSafe(bad["_bad_id"]) & (keyed["_k"] == bad["_bad_k"])
-    return keyed.join(bad, same, "left_anti").select(*docs.columns)
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"))
+    found = find_contamination(docs.select(key.alias("key"), "text"), items, id_column="key").filter("contaminated")
+    bad = found.select(F.col("key.id").alias("bad_id"), F.col("key.k").alias("bad_k")).distinct()
+    rows = docs.select(whole(docs).alias("row"), key.alias("key"))
+    same = F.col("key.id").eqNullSafe(F.col("bad_id")) & (F.col("key.k") == F.col("bad_k"))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

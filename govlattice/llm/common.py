@@ -42,11 +42,9 @@ def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def row_key(id_column: str, text_column: str) -> Column:
-    """Key of a row by its id and its text: equal rows share it, and so share their result."""
-    return F.struct(
-        F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("h")
-    )
+def whole(df: DataFrame) -> Column:
+    """All columns as one struct, so that no helper column can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def utf8_parts(column: pa.Array) -> Iterator[bytes]:

@@ -124,7 +124,7 @@ j AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j WHERE n = 1
 """
 
-_SPLIT_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+_SPLIT_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 _QUALITY_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -134,17 +134,17 @@ p AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t
 twice AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
 f AS (
-  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
-  FROM (SELECT *, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w)
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w)
   LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT *, NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
   OR 2 * n_dup_lines > n_words) AS kept FROM b
 """
 
-_ITEM_WORDS = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
+_ITEM_WORDS = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _CONTAMINATION_SQL = f"""
@@ -168,14 +168,14 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def _render_sql(turns: str) -> str:
     return (
-        f"coalesce(array_to_string(list_transform({turns}, t -> '<|im_start|>' || t.role || chr(10) || t.text"
+        f"coalesce(array_to_string(list_transform({turns}, lambda t: '<|im_start|>' || t.role || chr(10) || t.text"
         " || '<|im_end|>' || chr(10)), ''), '')"
     )
 
 
 def _mask_sql(turns: str) -> str:
     return (
-        f"coalesce(array_to_string(list_transform({turns}, t -> (length(t.role) + length(t.text) + 24)::VARCHAR"
+        f"coalesce(array_to_string(list_transform({turns}, lambda t: (length(t.role) + length(t.text) + 24)::VARCHAR"
         " || CASE WHEN t.role = 'assistant' THEN '+' ELSE '-' END), ','), '')"
     )
 
@@ -184,14 +184,14 @@ _CHAT_SQL = f"""
 WITH c AS (
   SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn, role, text) AS ts
   FROM conversations GROUP BY conv_id),
-n AS (SELECT *, coalesce(list_max(list_transform(ts, (t, i) -> CASE WHEN t.role = 'assistant' THEN i ELSE 0 END)), 0) AS n FROM c),
+n AS (SELECT *, coalesce(list_max(list_transform(ts, lambda t, i: CASE WHEN t.role = 'assistant' THEN i ELSE 0 END)), 0) AS n FROM c),
 p AS (
   SELECT a.conv_id, CASE WHEN a.n > 0 THEN a.ts[1 : a.n] ELSE a.ts END AS ch,
     CASE WHEN a.n = 0 THEN a.ts WHEN b.n > 0 THEN list_concat(a.ts[1 : a.n - 1], b.ts[b.n : b.n]) ELSE a.ts[1 : a.n - 1] END AS rj
   FROM n AS a LEFT JOIN n AS b ON xor(a.conv_id, 1) = b.conv_id AND b.n > 0),
 k AS (
   SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(ch), len(rj)) + 1),
-    i -> ch[i] IS DISTINCT FROM rj[i])) - 1, len(ch)) AS n_common FROM p)
+    lambda i: ch[i] IS DISTINCT FROM rj[i])) - 1, len(ch)) AS n_common FROM p)
 SELECT conv_id, n_common::BIGINT AS n_common, {_render_sql("ch[1 : n_common]")} AS prompt,
   {_render_sql("ch[n_common + 1 :]")} AS chosen, {_render_sql("rj[n_common + 1 :]")} AS rejected,
   {_mask_sql("ch[n_common + 1 :]")} AS chosen_mask, {_mask_sql("rj[n_common + 1 :]")} AS rejected_mask

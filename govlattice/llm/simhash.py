@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govlattice.llm.common import slices, utf8_parts
+from govlattice.llm.common import slices, utf8_parts, whole
 from govlattice.llm.components import connected_components
 from govlattice.session import cut_lineage
 
@@ -275,8 +275,10 @@ def keep_one_of_each(
     least = prints.groupBy("f").agg(F.min(order).alias("_first"))
     chosen = least.join(parts, "f").groupBy("c").agg(F.min("_first").alias("_first"))
     chosen = chosen.select(F.col("_first._id").alias("_id"), F.col("_first._k").alias("_k"))
-    text_hash = F.xxhash64(F.coalesce(docs[text_column], F.lit("")))
-    kept = docs.withColumn("_kk", text_hash).join(
-        chosen, docs[id_column].eqNullSafe(chosen["_id"]) & (F.col("_kk") == chosen["_k"]), "left_semi"
+    rows = docs.select(
+        whole(docs).alias("_whole"),
+        F.col(id_column).alias("_own_id"),
+        F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("_own_k"),
     )
-    return kept.dropDuplicates([id_column, "_kk"]).drop("_kk")
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_k") == F.col("_k"))
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["_own_id", "_own_k"]).select("_whole.*")
