@@ -55,8 +55,10 @@ def body():
 SEAL_SQL = f"""WITH RECURSIVE e AS (SELECT user_id AS chain_id, event_id,
       row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq,
       event_type || 'user-' || user_id || epoch_us(ts)::VARCHAR || props AS body FROM events),
-    s AS (SELECT chain_id, seq, event_id, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || body) AS hash
-        FROM e WHERE seq % {SEGMENT} = 0
+    f AS (SELECT *, CASE WHEN seq = 0 THEN repeat('0', 64)
+          ELSE sha256(repeat('0', 64) || chr(31) || chain_id || chr(31) || (seq // {SEGMENT})) END AS start
+        FROM e WHERE seq % {SEGMENT} = 0),
+    s AS (SELECT chain_id, seq, event_id, start AS prev_hash, sha256(start || body) AS hash FROM f
       UNION ALL SELECT e.chain_id, e.seq, e.event_id, s.hash, sha256(s.hash || e.body)
         FROM s JOIN e ON e.chain_id = s.chain_id AND e.seq = s.seq + 1 AND e.seq % {SEGMENT} <> 0)"""
 
@@ -106,6 +108,77 @@ def audit_verification(spark, base):
     return A.verify_chains(rows, "chain_id", "seq")
 
 
+@query(
+    "audit_seal_linear",
+    """WITH RECURSIVE e AS (SELECT user_id AS chain_id, event_id,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq,
+      event_type || 'user-' || user_id || epoch_us(ts)::VARCHAR || props AS body FROM events),
+    s AS (SELECT chain_id, seq, event_id, sha256(repeat('0', 64) || body) AS hash FROM e WHERE seq = 0
+      UNION ALL SELECT e.chain_id, e.seq, e.event_id, sha256(s.hash || e.body)
+        FROM s JOIN e ON e.chain_id = s.chain_id AND e.seq = s.seq + 1)
+    SELECT chain_id, seq::BIGINT AS seq, event_id, hash FROM s""",
+)
+def audit_seal_linear(spark, base):
+    """One linear chain per user, whatever its length."""
+    sealed = A.seal(audit_events(spark, base), "chain_id", "seq", body(), None)
+    return sealed.select("chain_id", "seq", "event_id", "hash")
+
+
+def _tampered(spark, base):
+    """Sealed chains; segments swapped, removed and renumbered, or a payload changed, by chain."""
+    sealed = _sealed(spark, base)
+    sizes = sealed.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = sealed.join(sizes, "chain_id")
+    swap = F.expr(f"chain_id % 4 = 0 AND n >= {2 * SEGMENT}")
+    cut = F.expr(f"chain_id % 4 = 1 AND n > {2 * SEGMENT}")
+    place = F.floor(F.col("seq") / SEGMENT)
+    return (
+        rows.filter(~(cut & (place == 1)))
+        .withColumn(
+            "seq",
+            F.when(swap & (place == 0), F.col("seq") + SEGMENT)
+            .when((swap & (place == 1)) | (cut & (place > 1)), F.col("seq") - SEGMENT)
+            .otherwise(F.col("seq")),
+        )
+        .withColumn(
+            "payload_json",
+            F.when(F.expr("chain_id % 4 = 2 AND seq = 40"), F.lit("{}")).otherwise(F.col("payload_json")),
+        )
+    )
+
+
+@query(
+    "audit_tampering",
+    f"""WITH c AS (SELECT user_id AS chain_id, count(*) AS n FROM events GROUP BY 1),
+      b AS (SELECT *, CASE WHEN chain_id % 4 = 0 AND n >= {2 * SEGMENT} THEN 0
+          WHEN chain_id % 4 = 1 AND n > {2 * SEGMENT} THEN {SEGMENT}
+          WHEN chain_id % 4 = 2 AND n > 40 THEN 40 END AS first_bad FROM c)
+      SELECT chain_id, (n - CASE WHEN chain_id % 4 = 1 AND n > {2 * SEGMENT} THEN {SEGMENT} ELSE 0 END)::BIGINT AS events,
+        first_bad IS NULL AS valid, first_bad::BIGINT AS first_bad FROM b""",
+)
+def audit_tampering(spark, base):
+    """Whole segments swapped or removed, and changed payloads: found, and where."""
+    rows = A.verify_rows(_tampered(spark, base), "chain_id", "seq", body(), SEGMENT, ["event_type", "actor"])
+    return A.verify_chains(rows, "chain_id", "seq")
+
+
+@query(
+    "audit_head_check",
+    f"""WITH e AS (SELECT user_id AS chain_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
+      h AS (SELECT chain_id, seq // {SEGMENT} AS segment, count(*) AS n, max(seq) AS last FROM e GROUP BY 1, 2),
+      t AS (SELECT chain_id, max(seq) AS top FROM e GROUP BY 1)
+      SELECT chain_id, segment::BIGINT AS segment, CASE WHEN n = 1 THEN 'missing' ELSE 'changed' END AS finding
+      FROM h JOIN t USING (chain_id) WHERE chain_id % 5 = 2 AND last = top""",
+)
+def audit_head_check(spark, base):
+    """Chains whose last event was cut off: valid on their own, but not against the stored heads."""
+    sealed = _sealed(spark, base)
+    stored = A.segment_heads(sealed, "chain_id", "seq")
+    last = sealed.groupBy("chain_id").agg(F.max("seq").alias("top"))
+    short = sealed.join(last, "chain_id").filter(~F.expr("chain_id % 5 = 2 AND seq = top"))
+    return A.verify_heads(short, stored, "chain_id", "seq")
+
+
 TREE_SQL = """, tree AS ({leaves}),
     up AS (SELECT t, 0 AS lvl, pos, h, n FROM tree
       UNION ALL SELECT t, lvl + 1, pos // 2, sha256(max(CASE WHEN pos % 2 = 0 THEN h END)

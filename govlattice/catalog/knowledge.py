@@ -8,6 +8,7 @@ from govlattice.catalog.common import LETTER
 from govlattice.operators import graph as G
 from govlattice.operators import retrieval as R
 from govlattice.operators.personal_data import detect_personal_data
+from govlattice.plans import whatif as W
 from govlattice.session import cut_lineage, table
 from govlattice.sources import corpus as C
 from govlattice.sources import markup
@@ -231,6 +232,20 @@ def related_articles(spark, base):
     return G.find_related(G.mention_edges(corpus), G.article_nodes(corpus), 2)
 
 
+@query(
+    "affected_articles",
+    GRAPH_SQL
+    + """ SELECT u.src AS changed, 'Art. ' || substr(u.dst, 5) || 'º' AS article FROM u
+          JOIN orders ON u.src = 'art_' || o_orderkey WHERE o_orderpriority = '1-URGENT'""",
+)
+def affected_articles(spark, base):
+    """Articles one mention away from each changed one (here: those of urgent orders)."""
+    corpus = articles(spark, base)
+    changed = table(spark, base, "orders").filter("o_orderpriority = '1-URGENT'")
+    numbers = changed.select(F.col("o_orderkey").alias("number"))
+    return W.affected_articles(G.article_nodes(corpus), G.mention_edges(corpus), numbers)
+
+
 @query(
     "shortest_article_paths",
     GRAPH_SQL

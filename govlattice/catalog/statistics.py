@@ -394,22 +394,21 @@ def call_snapshot(spark, base):
 @query(
     "metrics_text_export",
     """WITH m AS (SELECT event_type AS module, count(*) AS c FROM events GROUP BY 1),
-       t AS (SELECT count(*) FILTER (WHERE event_id % 17 = 0) AS e FROM events),
-       l AS (SELECT 10 AS a, '' AS b, '# HELP governance_module_calls_total Total de chamadas registradas por módulo.' AS line
+       t AS (SELECT count(*) FILTER (WHERE event_id % 17 = 0) AS e, round(coalesce(avg(value), 0), 4) AS d FROM events),
+       l AS (SELECT 10 AS a, '' AS b, '# HELP governance_module_calls_total Calls recorded for each module.' AS line
          UNION ALL SELECT 11, '', '# TYPE governance_module_calls_total counter'
          UNION ALL SELECT 12, module, 'governance_module_calls_total{module="' || module || '"} ' || c FROM m
-         UNION ALL SELECT 20, '', '# HELP governance_module_call_errors_total Total de chamadas com erro.'
+         UNION ALL SELECT 20, '', '# HELP governance_module_call_errors_total Calls that ended in an error.'
          UNION ALL SELECT 21, '', '# TYPE governance_module_call_errors_total counter'
-         UNION ALL SELECT 22, '', 'governance_module_call_errors_total ' || e FROM t)
+         UNION ALL SELECT 22, '', 'governance_module_call_errors_total ' || e FROM t
+         UNION ALL SELECT 30, '', '# HELP governance_module_call_duration_ms_avg Mean duration of the recorded calls in milliseconds.'
+         UNION ALL SELECT 31, '', '# TYPE governance_module_call_duration_ms_avg gauge'
+         UNION ALL SELECT 32, '', 'governance_module_call_duration_ms_avg ' || printf('%.4f', d) FROM t)
        SELECT line FROM l""",
 )
 def metrics_text_export(spark, base):
-    """Exposition lines but the last metric, whose digits two engines print differently."""
-    return (
-        exports.prometheus_lines(federation.call_snapshot(_calls(spark, base)))
-        .filter(~F.col("line").contains("duration"))
-        .select("line")
-    )
+    """Exposition lines of all three metrics."""
+    return exports.prometheus_lines(federation.call_snapshot(_calls(spark, base))).select("line")
 
 
 @query(

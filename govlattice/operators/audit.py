@@ -1,16 +1,23 @@
 """Hash-chained audit events: sealing, verification, traces, tail.
 
-An event belongs to a chain and has a dense position ``seq`` in it. Chains are
-sealed in segments of a fixed number of rows: inside a segment every event
-carries the hash of the one before it, and a segment starts from the genesis
-hash. The heads of the segments form a chain of their own
-(:func:`segment_heads`), so one chain of any length is sealed and verified by
-many tasks and still cannot lose or swap a row unseen. A chain that fits into
-one segment is the plain linear chain.
+An event belongs to a chain and has a dense position ``seq`` in it. Every event
+carries the hash of the one before it. A chain may be sealed in segments of a
+fixed number of rows, so that many tasks share one chain: the first segment
+starts from the genesis hash, each other one from a hash of the chain's key and
+the segment's number (:func:`segment_start`), so a segment is valid in its own
+place only. The heads of the segments form a chain of their own
+(:func:`segment_heads`), and :func:`verify_heads` compares them with heads kept
+elsewhere. A chain that fits into one segment is the plain linear chain, and
+``segment_rows=None`` seals a linear chain of any length. The streaming sealer
+writes the same hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,47 +50,54 @@ def canonical_json(pairs: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[pairs[k].alias(k) for k in sorted(pairs)]))
 
 
+def segment_start(chain: Column, segment: Column) -> Column:
+    """Hash that a segment starts from; the genesis hash for the first one."""
+    place = F.concat_ws("\x1f", F.lit(GENESIS), chain.cast("string"), segment.cast("string"))
+    return F.when(segment == 0, F.lit(GENESIS)).otherwise(F.sha2(place, 256))
+
+
 def seal(
     events: DataFrame,
     chain: str,
     seq: str,
     body: Column,
-    segment_rows: int = SEGMENT_ROWS,
+    segment_rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Add ``segment``, ``prev_hash`` and ``hash``.
 
-    Only a segment is ever collected, and a segment has at most
-    ``segment_rows`` rows.
+    Rows are dealt out by segment and hashed in order as they pass by, so
+    nothing is gathered, whatever the length of a segment. With
+    ``segment_rows=None`` a chain is one segment: the linear chain, which only
+    one task can hash.
     """
-    kept = events.columns
-    rows = events.withColumns(
-        {"_body": body, "segment": F.floor(F.col(seq) / segment_rows).cast("bigint")}
-    )
-    item = F.struct(F.col(seq).alias("_at"), "_body", F.struct(*kept).alias("_row"))
-    grouped = rows.groupBy(chain, "segment").agg(
-        F.sort_array(F.collect_list(item)).alias("_items")
-    )
-    empty = F.array().cast("array<string>")
-    init = F.struct(F.lit(GENESIS).alias("prev"), empty.alias("hashes"))
-
-    def step(acc: Column, x: Column) -> Column:
-        h = chain_hash(acc["prev"], x["_body"])
-        return F.struct(h.alias("prev"), F.concat(acc["hashes"], F.array(h)).alias("hashes"))
-
-    hashed = grouped.withColumn(
-        "_hashes", F.aggregate("_items", init, step, lambda a: a["hashes"])
-    )
-    rows_out = hashed.select(
-        "segment", "_hashes", F.posexplode("_items").alias("_i", "_x")
-    )
-    return rows_out.select(
-        *[F.col(f"_x._row.{c}").alias(c) for c in kept],
-        "segment",
-        F.when(F.col("_i") == 0, F.lit(GENESIS))
-        .otherwise(F.get("_hashes", F.col("_i") - 1))
-        .alias("prev_hash"),
-        F.get("_hashes", F.col("_i")).alias("hash"),
-    )
+    segment = F.floor(F.col(seq) / segment_rows).cast("bigint") if segment_rows else F.lit(0).cast("bigint")
+    rows = events.select(
+        F.struct(*events.columns).alias("_row"),
+        F.col(chain).cast("string").alias("_chain"),
+        segment.alias("segment"),
+        F.col(seq).alias("_at"),
+        body.alias("_body"),
+    ).withColumn("_start", segment_start(F.col("_chain"), F.col("segment")))
+    dealt = rows.repartition("_chain", "segment").sortWithinPartitions("_chain", "segment", "_at")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, prev = None, ""
+        for batch in batches:
+            before, after = [], []
+            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("_chain", "segment", "_start", "_body")]
+            for key, part, start, text in zip(*columns):
+                if (key, part) != place:
+                    place, prev = (key, part), start
+                before.append(prev)
+                # A null body cannot be hashed, and neither can what follows it.
+                prev = None if text is None or prev is None else hashlib.sha256((prev + text).encode()).hexdigest()
+                after.append(prev)
+            arrays = [batch.column(0), batch.column(2), pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["_row", "segment", "prev_hash", "hash"])
+
+    kind = rows.schema["_row"].dataType.simpleString()
+    out = dealt.mapInArrow(work, f"_row {kind}, segment bigint, prev_hash string, hash string")
+    return out.select("_row.*", "segment", "prev_hash", "hash")
 
 
 def segment_heads(sealed: DataFrame, chain: str, seq: str) -> DataFrame:
@@ -103,6 +117,31 @@ def seal_heads(
     )
 
 
+def verify_heads(sealed: DataFrame, stored: DataFrame, chain: str, seq: str) -> DataFrame:
+    """Segments whose head or size differs from what was stored: chain, segment, finding.
+
+    ``stored`` holds rows of :func:`segment_heads` kept where the events' writer
+    cannot change them. Findings: ``missing``, ``unknown``, ``changed``. Only
+    this notices events cut off at the end of a chain, or a chain that was
+    sealed anew as a whole.
+    """
+    now = segment_heads(sealed, chain, seq).select(
+        F.col(chain).alias("_c"), F.col("segment").alias("_s"), F.col("head").alias("_h"), F.col("n").alias("_n")
+    )
+    same = F.col(chain).eqNullSafe(F.col("_c")) & (F.col("segment") == F.col("_s"))
+    both = stored.select(chain, "segment", "head", "n").join(now, same, "full")
+    finding = (
+        F.when(F.col("_h").isNull() & F.col("_n").isNull(), "missing")
+        .when(F.col("head").isNull() & F.col("n").isNull(), "unknown")
+        .when(~F.col("head").eqNullSafe(F.col("_h")) | (F.col("n") != F.col("_n")), "changed")
+    )
+    return both.select(
+        F.coalesce(F.col(chain), F.col("_c")).alias(chain),
+        F.coalesce("segment", "_s").alias("segment"),
+        finding.alias("finding"),
+    ).filter("finding IS NOT NULL")
+
+
 def verify_rows(
     sealed: DataFrame,
     chain: str,
@@ -130,7 +169,9 @@ def verify_rows(
     gapless = (F.col(seq) == 0) | F.coalesce(
         F.col(f"{seq}_prev1") == F.col(seq) - 1, F.lit(False)
     )
-    linked = F.when(first, gapless & (F.col("prev_hash") == GENESIS)).otherwise(follows)
+    part = F.floor(F.col(seq) / segment_rows).cast("bigint") if segment_rows else F.lit(0)
+    start = segment_start(F.col(chain), part)
+    linked = F.when(first, gapless & (F.col("prev_hash") == start)).otherwise(follows)
     rehashed = chain_hash(F.col("prev_hash"), body)
     ok = linked & (F.col("hash") == rehashed)
     for c in required or []:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlattice.functions.scale import pin, with_neighbours
+from govlattice.functions.scale import dense_position, pin, with_neighbours
 from govlattice.functions.text import is_blank, pattern, swap
 from govlattice.rules.prompts import (
     PROMPT_RULES,
@@ -101,8 +101,8 @@ def scan_turns(
 
     A window is scanned only if all its turns are safe on their own;
     ``window_score`` is then set and ``window_unsafe`` tells a payload split
-    over several turns. Turns are numbered without gaps per conversation; use
-    ``dense_position`` first if they are not.
+    over several turns. Windows follow the order of the turns, whatever numbers
+    they have; ``window_last`` is the number of the last one.
     """
     scanned = scan_prompts(turns, text)
     if window <= 1:
@@ -113,11 +113,18 @@ def scan_turns(
                 "window_unsafe": F.lit(False),
             }
         )
-    near = with_neighbours(
+    placed = dense_position(
         scanned.withColumnRenamed("is_safe", "_safe"),
         [conversation],
-        turn,
-        [text, "_safe"],
+        [turn, text],
+        F.floor(F.col(turn) / chunk),
+        "_pos",
+    )
+    near = with_neighbours(
+        placed,
+        [conversation],
+        "_pos",
+        [text, "_safe", turn],
         following=window - 1,
         chunk=chunk,
     )
@@ -135,7 +142,7 @@ def scan_turns(
         "findings",
         "score",
         F.col("_safe").alias("is_safe"),
-        F.when(has_window, F.col(turn) + (window - 1)).alias("window_last"),
+        F.when(has_window, F.col(f"{turn}_next{window - 1}")).alias("window_last"),
         F.when(has_window, F.col("_window_score")).alias("window_score"),
         (has_window & ~F.col("_window_is_safe")).alias("window_unsafe"),
     )
@@ -207,6 +214,12 @@ def detection_report(
     )
 
 
+def coverage_gaps(evaluated: DataFrame, case: str) -> DataFrame:
+    """Cases that did not pass, with what kind of gap each is; rows, so any number of them."""
+    kind = F.when(F.col("detected"), "false_alarm").otherwise("missed")
+    return evaluated.filter(~F.col("passed")).select(case, kind.alias("gap"))
+
+
 def attack_family(category: Column) -> Column:
     """Evasion and obfuscation variants count as one family each."""
     return (

@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from govlattice.operators.graph import find_related
 from govlattice.operators.policy import evaluate_policies, explode_decisions
 from govlattice.operators.trust import trust_of_arrays
 
@@ -98,6 +99,31 @@ def change_impact(
     )
 
 
+def affected_articles(nodes: DataFrame, edges: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Articles one mention away from each changed one: ``changed``, ``article``.
+
+    ``numbers``: ``number``, the changed articles; ``nodes`` and ``edges`` as in
+    :mod:`govlattice.operators.graph`.
+    """
+    starts = numbers.select(F.concat(F.lit("art_"), F.col("number").cast("string")).alias("id"))
+    near = find_related(edges, starts, 1).select(F.col("src").alias("changed"), "id")
+    named = nodes.select("id", F.coalesce("article", "id").alias("article")).distinct()
+    return near.join(named, "id").select("changed", "article")
+
+
+def regulatory_change(
+    scenarios: DataFrame,
+    number: int,
+    override: dict[str, str],
+    nodes: DataFrame,
+    edges: DataFrame,
+    policies: list[dict[str, Any]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Effect of a changed article: (directly affected articles, figures of :func:`change_impact`)."""
+    number_row = scenarios.sparkSession.createDataFrame([(number,)], "number int")
+    return affected_articles(nodes, edges, number_row), change_impact(scenarios, override, policies)
+
+
 def review_items(evaluated: DataFrame, keys: list[str]) -> DataFrame:
     """A pending review item for every decision that asks for a human."""
     return (

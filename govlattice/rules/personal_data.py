@@ -61,14 +61,15 @@ PERSONAL_TYPES = (
 )
 
 # Capitalised words that do not start a personal name.
-NAME_STOPWORDS = (
-    "segunda-feira terça-feira quarta-feira quinta-feira sexta-feira sábado domingo "
-    "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro "
-    "brasil brasileiro brasileira governo empresa ministério secretaria conforme portanto "
-    "assim além segundo quando onde porque contudo todavia entretanto estado município "
-    "prefeitura república constituição lei artigo capítulo anexo processo protocolo sistema "
-    "plataforma departamento diretoria gerência atenciosamente prezado prezada senhor senhora"
-).split()
+NAME_STOPWORDS = [
+    "segunda-feira", "terça-feira", "quarta-feira", "quinta-feira", "sexta-feira", "sábado", "domingo",
+    "janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro",
+    "novembro", "dezembro", "brasil", "brasileiro", "brasileira", "governo", "empresa", "ministério",
+    "secretaria", "conforme", "portanto", "assim", "além", "segundo", "quando", "onde", "porque", "contudo",
+    "todavia", "entretanto", "estado", "município", "prefeitura", "república", "constituição", "lei",
+    "artigo", "capítulo", "anexo", "processo", "protocolo", "sistema", "plataforma", "departamento",
+    "diretoria", "gerência", "atenciosamente", "prezado", "prezada", "senhor", "senhora",
+]
 
 SENSITIVE_KEYWORDS = {
     "SENSITIVE_HEALTH": (

@@ -34,7 +34,8 @@ PROMPT_RULES: tuple[PromptRule, ...] = (
         "ignore_previous_instructions",
         "high",
         r"ignor[ae]\s+(todas?\s+(as\s+)?|as\s+|all\s+|the\s+)?instru[çc][õo]es\s+(anteriores|acima)"
-        r"|ignore\s+(all\s+|the\s+)?(previous|prior)\s+instructions",
+        r"|ignore\s+(all\s+|the\s+)?previous\s+instructions"
+        r"|ignore\s+(all\s+|the\s+)?prior\s+instructions",
         ("anteriores", "acima", "previous", "prior"),
     ),
     PromptRule(
@@ -64,8 +65,9 @@ PROMPT_RULES: tuple[PromptRule, ...] = (
         "prompt_injection",
         "overwrite_system_prompt",
         "critical",
-        r"(sobrescrev[ae]|substitua)\s+(o\s+)?system\s*prompt"
-        r"|overwrite\s+(the\s+)?system\s*prompt",
+        r"sobrescrev[ae]\s+(o\s+)?system\s*prompt"
+        r"|overwrite\s+(the\s+)?system\s*prompt"
+        r"|substitua\s+(o\s+)?system\s*prompt",
         ("prompt",),
     ),
     PromptRule(
@@ -87,7 +89,7 @@ PROMPT_RULES: tuple[PromptRule, ...] = (
         "prompt_injection",
         "system_role_spoofing",
         "high",
-        r"system\s*\]?\s*:\s*(you\s+are|voc[eê]\s+[ée])",
+        r"\[?\s*system\s*\]?\s*:\s*(you\s+are|voc[eê]\s+[ée])",
         ("system",),
     ),
     # -- jailbreak
@@ -95,7 +97,7 @@ PROMPT_RULES: tuple[PromptRule, ...] = (
         "jailbreak",
         "dan_persona",
         "critical",
-        r"do\s+anything\s+now",
+        r"\bdan\b.{0,30}(do\s+anything\s+now)|do\s+anything\s+now",
         ("anything",),
     ),
     PromptRule(
@@ -161,7 +163,8 @@ PROMPT_RULES: tuple[PromptRule, ...] = (
         "reveal_training_data",
         "medium",
         r"dados\s+de\s+treinamento"
-        r"|training\s+data\s+(you\s+were\s+trained\s+on|used\s+to\s+train)",
+        r"|training\s+data\s+(you\s+were\s+trained\s+on|used\s+to\s+train)"
+        r"|repita\s+(exemplos\s+de\s+)?seus\s+dados\s+de\s+treinamento",
         ("treinamento", "training"),
     ),
     PromptRule(
@@ -171,7 +174,7 @@ PROMPT_RULES: tuple[PromptRule, ...] = (
         r"(revele?|mostre?|qual\s+[ée])\s+(a\s+|sua\s+)*"
         r"(chave\s+de\s+api|api\s*key|senha|token\s+secreto|secret\s+key)"
         r"|reveal\s+(your\s+)?(api\s*key|password|secret)",
-        ("revel", "mostr", "qual"),
+        ("revel", "reveal", "mostr", "qual"),
     ),
     PromptRule(
         "pii_exfiltration",

@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+HELP = {
+    "calls": "Calls recorded for each module.",
+    "errors": "Calls that ended in an error.",
+    "mean": "Mean duration of the recorded calls in milliseconds.",
+}
+
+
 def _line(group: int, line: Column | str, key: Column | None = None) -> Column:
     return F.struct(
         F.lit(group).alias("part"),
@@ -29,14 +36,14 @@ def prometheus_lines(snapshot: DataFrame, prefix: str = "governance") -> DataFra
         F.lit(calls + '{module="'), F.col("module"), F.lit('"} '), F.col("calls").cast("string")
     )
     total = F.array(
-        _line(10, f"# HELP {calls} Total de chamadas registradas por módulo."),
+        _line(10, f"# HELP {calls} {HELP['calls']}"),
         _line(11, f"# TYPE {calls} counter"),
-        _line(20, f"# HELP {errors} Total de chamadas com erro."),
+        _line(20, f"# HELP {errors} {HELP['errors']}"),
         _line(21, f"# TYPE {errors} counter"),
         _line(22, F.concat(F.lit(errors + " "), F.col("errors").cast("string"))),
-        _line(30, f"# HELP {mean} Duração média (ms) das chamadas registradas."),
+        _line(30, f"# HELP {mean} {HELP['mean']}"),
         _line(31, f"# TYPE {mean} gauge"),
-        _line(32, F.concat(F.lit(mean + " "), F.col("avg_duration_ms").cast("string"))),
+        _line(32, F.concat(F.lit(mean + " "), F.format_string("%.4f", F.col("avg_duration_ms")))),
     )
     one = F.array(_line(12, module_line, F.col("module")))
     return snapshot.select(F.inline(F.when(F.col("is_total") == 1, total).otherwise(one)))

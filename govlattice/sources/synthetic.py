@@ -9,10 +9,10 @@ from govlattice.functions.text import _check_digit
 from govlattice.rules.personal_data import CPF_WEIGHTS
 
 # The pools the generator draws from.
-FIRST_NAMES = "Ana Bruno Carla Daniel Elisa Fábio Gabriela Hugo Isabela João".split()
-LAST_NAMES = (
-    "Silva Souza Oliveira Pereira Costa Rodrigues Almeida Nascimento Lima Araújo".split()
-)
+FIRST_NAMES = ["Ana", "Bruno", "Carla", "Daniel", "Elisa", "Fábio", "Gabriela", "Hugo", "Isabela", "João"]
+LAST_NAMES = [
+    "Silva", "Souza", "Oliveira", "Pereira", "Costa", "Rodrigues", "Almeida", "Nascimento", "Lima", "Araújo",
+]
 EMAIL_DOMAINS = ["exemplo-sintetico.test", "dados-ficticios.test", "synthetic-mail.test"]
 AREA_CODES = [11, 21, 31, 41, 51, 61]
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from govlattice.operators.audit import GENESIS
+from govlattice.operators.audit import GENESIS, SEGMENT_ROWS
 from govlattice.operators.federation import call_snapshot
 from govlattice.operators.personal_data import detect_personal_data
 from govlattice.operators.privacy import TOLERANCE
@@ -113,7 +113,8 @@ def scan_conversation_stream(
         _Windows(window, ttl_ms),
         "conv_id bigint, turn bigint, is_safe boolean, first_turn double, window_text string",
         "append",
-        "none",
+        # A state that expires needs a clock.
+        "processingTime" if ttl_ms else "none",
     )
     out = scan_prompts(joined, "window_text", prefix="w_")
     has_window = F.col("window_text").isNotNull()
@@ -131,7 +132,10 @@ def scan_conversation_stream(
 
 
 class _Sealer(StatefulProcessor):
-    """Last hash and position of a chain: the linear chain, appended batch by batch."""
+    """Last hash and position of a chain, appended batch by batch, with the hashes of the batch sealer."""
+
+    def __init__(self, segment_rows: int | None):
+        self.segment_rows = segment_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "hash string, seq bigint")
@@ -141,6 +145,9 @@ class _Sealer(StatefulProcessor):
         out = []
         for row in _sorted(rows, "order_key"):
             seq += 1
+            if self.segment_rows and seq and seq % self.segment_rows == 0:
+                place = "\x1f".join((GENESIS, str(key[0]), str(seq // self.segment_rows)))
+                prev = hashlib.sha256(place.encode()).hexdigest()
             digest = hashlib.sha256((prev + row["body"]).encode()).hexdigest()
             out.append((key[0], seq, int(row["order_key"]), row["body"], prev, digest))
             prev = digest
@@ -153,10 +160,10 @@ class _Sealer(StatefulProcessor):
         pass
 
 
-def seal_stream(events: DataFrame) -> DataFrame:
+def seal_stream(events: DataFrame, segment_rows: int | None = SEGMENT_ROWS) -> DataFrame:
     """Seal a feed of (chain_id STRING, order_key BIGINT, body STRING)."""
     return events.groupBy("chain_id").transformWithStateInPandas(
-        _Sealer(),
+        _Sealer(segment_rows),
         "chain_id string, seq bigint, order_key bigint, body string, prev_hash string, hash string",
         "append",
         "none",
@@ -238,6 +245,37 @@ def incident_stream(transitions: DataFrame) -> DataFrame:
     )
 
 
+class _Review(StatefulProcessor):
+    """First decision on a review item; later ones are rejected."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.decided = handle.getValueState("decided", "status string, reviewer string, seq bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        decided = tuple(self.decided.get()) if self.decided.exists() else None
+        out = []
+        for row in _sorted(rows, "seq"):
+            reason = "already_decided" if decided else None
+            if not decided:
+                decided = ("approved" if row["approve"] else "rejected", row["reviewer"], int(row["seq"]))
+                self.decided.update(decided)
+            out.append((key[0], int(row["seq"]), *decided, reason))
+        yield pd.DataFrame(out, columns=["item_id", "seq", "status", "reviewer", "decided_seq", "reject_reason"])
+
+    def close(self) -> None:
+        pass
+
+
+def review_stream(decisions: DataFrame) -> DataFrame:
+    """Status of a review item after every decision of a feed of (item_id, seq, approve, reviewer)."""
+    return decisions.groupBy("item_id").transformWithStateInPandas(
+        _Review(),
+        "item_id bigint, seq bigint, status string, reviewer string, decided_seq bigint, reject_reason string",
+        "append",
+        "none",
+    )
+
+
 def distinct_transitions(
     transitions: DataFrame, ts: str = "ts", delay: str = "1 hour", keys: tuple = ("incident_id", "seq")
 ) -> DataFrame:

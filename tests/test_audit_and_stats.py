@@ -53,6 +53,41 @@ def test_tampering_is_noticed(spark, segment):
     assert heads.count() == 2 * -(-25 // segment)
 
 
+@pytest.mark.parametrize("segment", [4, None])
+def test_moved_and_removed_segments_are_noticed(spark, segment):
+    sealed = A.seal(chain(spark, chains=1), "chain_id", "seq", BODY(), segment)
+
+    def verdict(df):
+        row = A.verify_chains(A.verify_rows(df, "chain_id", "seq", BODY(), segment, chunk=8), "chain_id", "seq").first()
+        return row.valid, row.first_bad
+
+    assert verdict(sealed) == (True, None)
+    swapped = sealed.withColumn("seq", F.expr("CASE WHEN seq < 4 THEN seq + 4 WHEN seq < 8 THEN seq - 4 ELSE seq END"))
+    assert verdict(swapped) == (False, 0)
+    cut = sealed.filter("seq < 8 OR seq >= 12").withColumn("seq", F.expr("CASE WHEN seq >= 12 THEN seq - 4 ELSE seq END"))
+    assert verdict(cut) == (False, 8)
+
+
+def test_heads_notice_a_cut_tail_and_a_chain_sealed_anew(spark):
+    events = chain(spark)
+    sealed = A.seal(events, "chain_id", "seq", BODY(), 8)
+    stored = A.segment_heads(sealed, "chain_id", "seq")
+    check = lambda df: {(r.chain_id, r.segment, r.finding) for r in A.verify_heads(df, stored, "chain_id", "seq").collect()}
+    assert check(sealed) == set()
+    assert check(sealed.filter("seq < 24 OR chain_id = 'c1'")) == {("c0", 3, "missing")}
+    anew = A.seal(events.filter("chain_id = 'c0'").withColumn("actor", F.lit("other")), "chain_id", "seq", BODY(), 8)
+    assert check(anew.unionByName(sealed.filter("chain_id = 'c1'"))) == {("c0", i, "changed") for i in range(4)}
+    more = sealed.unionByName(sealed.filter("seq = 0 AND chain_id = 'c0'").withColumn("chain_id", F.lit("c9")))
+    assert check(more) == {("c9", 0, "unknown")}
+
+
+def test_long_paths_are_found(spark):
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(18)], "src string, dst string")
+    pairs = spark.createDataFrame([("n00", "n18"), ("n05", "n04")], "src string, dst string")
+    found = graph.shortest_paths(edges.coalesce(1), pairs.coalesce(1), cut_every=3)
+    assert [(r.src, r.hops) for r in found.collect()] == [("n00", 18)]
+
+
 def brute_root(leaves):
     if not leaves:
         return sha("")

@@ -178,10 +178,10 @@ def test_impact_report(spark):
     out = {r.project_id: r for r in I.generate_reports(projects, corpus).collect()}
     assert out[1].score == 100.0 and [d.policy_id for d in out[1].decisions] == ["POL-009"]
     assert out[1].regulatory_context[0].source == "c.txt" and out[1].prompt_score is None
-    assert "BAIXO (low), AI Trust Score 100.0/100." in out[1].executive_summary
+    assert "risco BAIXO (low), confiança 100.0 de 100." in out[1].executive_summary
     two = out[2]
     # one address, one health term, two reviews, an unsafe prompt
     assert two.score == pytest.approx(100 - 4 - 15 - 40 - (0.75 * 30 + 15))
-    assert "INSEGURO (score 0.25, 1 achado(s)" in two.executive_summary
-    assert "2 achado(s) — EMAIL=1, SENSITIVE_HEALTH=1" in two.executive_summary
+    assert "inseguro, nota 0.25, 1 alerta." in two.executive_summary
+    assert "2 ocorrências (EMAIL=1, SENSITIVE_HEALTH=1)" in two.executive_summary
     assert len(two.mitigations) == 3

@@ -78,6 +78,9 @@ def test_conversations_over_chunk_borders(spark):
         scanned = S.scan_turns(df, window=3, chunk=chunk)
         assert [(r.first_turn, r.last_turn) for r in S.reassembled_windows(scanned).collect()] == [(9, 11)]
         assert scanned.filter("window_score IS NOT NULL").count() == 38
+    gaps = df.withColumn("turn", S.F.expr("turn * 250 + turn % 3"))
+    found = [(r.first_turn, r.last_turn) for r in S.reassembled_windows(S.scan_turns(gaps, window=3)).collect()]
+    assert found == [(9 * 250, 11 * 250 + 2)]
     summary = S.conversation_summary(S.scan_turns(df, window=1)).collect()[0]
     assert summary.overall_safe and summary.turns == 40
 
@@ -204,3 +207,20 @@ def test_redaction_and_memory(spark):
     now = F.lit("2024-01-05").cast("timestamp")
     assert D.active_items(governed, now).count() == 2
     assert D.purge_expired(governed, now)[1].collect()[0].purged == 1
+
+
+def test_every_rule_is_hit_by_a_phrase(spark):
+    """The substring test in front of a pattern must not hide what the pattern finds."""
+    import re
+
+    from govlattice.catalog.common import PHRASES
+    from govlattice.rules.prompts import PROMPT_RULES
+
+    df = spark.createDataFrame([(i, p) for i, (_, p, _) in enumerate(PHRASES)], "id int, text string")
+    got = {r.id: {f.matched_pattern for f in r.findings} for r in S.scan_prompts(df).collect()}
+    hit = set()
+    for i, (_, phrase, attack) in enumerate(PHRASES):
+        wanted = {r.label for r in PROMPT_RULES if re.search(r.pattern, phrase, re.I)}
+        assert got[i] - {"excessive_zero_width_chars"} == wanted, phrase
+        hit |= got[i]
+    assert hit == {r.label for r in PROMPT_RULES} | {"excessive_zero_width_chars"}
