@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,18 @@ def whole(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def per_process(key: str, make: Callable[[], object]) -> object:
+    """A value made once per Python process and kept for its later tasks.
+
+    Functions are sent to tasks by value, globals included, so a table that is
+    costly to fill would otherwise start empty in every task.
+    """
+    held = sys.modules.setdefault("_govlattice_per_process", ModuleType("_govlattice_per_process")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def utf8_parts(column: pa.Array) -> Iterator[bytes]:
     """The values as bytes, null as empty, one at a time and without a copy of the whole column."""
     raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govlattice.llm.common import fresh_folder, list_of, slices, utf8_parts
-from govlattice.llm.tokens import encoder
+from govlattice.llm.tokens import SLICE_BYTES, word_encoder
 from govlattice.session import bounded_rows
 
 PLAN = T.StructType(
@@ -101,28 +101,29 @@ def token_pieces(
     def work(batches):
         from pyspark import TaskContext
 
-        run, part = encoder(tokenizer, end), TaskContext.get().partitionId()
+        words, part = word_encoder(tokenizer), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)  # at most one entry for each length
-        for batch in slices(batches, "_text"):
-            ids = list(run(utf8_parts(batch.column(1))))
-            cuts = [range(0, len(x), capacity) for x in ids]
-            parts = [x[a : a + capacity] for x, c in zip(ids, cuts) for a in c]
-            lengths = np.array([len(x) for x in parts], np.int64)
-            ranks = np.empty(len(parts), np.int64)
+        for batch in slices(batches, "_text", SLICE_BYTES):
+            ids, sizes = words.encode(list(utf8_parts(batch.column(1))), end)
+            cuts = -(-sizes // capacity)
+            rows_of = np.repeat(np.arange(len(sizes)), cuts)
+            pieces = np.arange(len(rows_of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            lengths = np.minimum(sizes[rows_of] - pieces * capacity, capacity)
+            raw, ends = ids.astype("<i4", copy=False).view(np.uint8), np.cumsum(lengths) * 4
+            sums = [zlib.crc32(raw[e - 4 * n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
+            ranks = np.empty(len(lengths), np.int64)
             for i, n in enumerate(lengths.tolist()):
                 ranks[i] = seen[n]
                 seen[n] += 1
-            rows_of = np.repeat(np.arange(len(ids)), [len(c) for c in cuts])
-            starts = np.array([a for c in cuts for a in c], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows_of)),
-                    pa.array((starts // capacity).astype(np.int32)),
-                    pa.array(starts),
+                    pa.array(pieces.astype(np.int32)),
+                    pa.array(pieces * capacity),
                     pa.array(lengths),
-                    pa.array([zlib.crc32(x.astype("<i4", copy=False)) for x in parts], pa.int64()),
-                    list_of(np.concatenate(parts), lengths, pa.int32()),
-                    pa.array(np.full(len(parts), part, np.int32)),
+                    pa.array(sums, pa.int64()),
+                    list_of(ids, lengths, pa.int32()),
+                    pa.array(np.full(len(lengths), part, np.int32)),
                     pa.array(ranks),
                 ],
                 ["_id", "piece", "start", "length", "ids_crc32", "tokens", "_part", "_rank"],

@@ -2,8 +2,8 @@
 
 Texts are encoded by the ``tokenizers`` library. Its pre-tokenizer never joins
 characters across ASCII white space, so the words between white space are
-encoded once per task and looked up afterwards; words of ASCII characters go
-straight to the library's model, all others through its whole pipeline.
+encoded once per process and looked up afterwards; words of Latin-1 characters
+go straight to the library's model, all others through its whole pipeline.
 
 The files are Spark's own Parquet: one list column of ids per document with
 dictionary or delta encoding, a set row-group size, and page indexes, next to
@@ -16,67 +16,129 @@ import itertools
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Collection, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from govlattice.llm.common import broadcast_if_small, fresh_folder, list_of, slices, utf8_parts
+from govlattice.llm.common import broadcast_if_small, fresh_folder, list_of, per_process, slices, utf8_parts
 
-# Words remembered by a task; beyond it the table starts anew.
-MOST_WORDS = 1_000_000
+# Words remembered by a process; beyond it the table starts anew.
+MOST_WORDS = 1_500_000
+# Frequent words looked up first, in a table that a processor's cache holds.
+NEAR_WORDS = 4_096
+# Not UTF-8, so no text holds it.
+BETWEEN = b"\xff"
+# Text encoded in one step.
+SLICE_BYTES = 2 << 20
 
 
 class WordEncoder:
-    """Encodes texts word by word; ``path`` is a tokenizers file whose words end at white space."""
+    """Encodes texts word by word; ``path`` is a tokenizers file whose words end at white space.
+
+    The ids of all known words lie in one array. A text is then the places of
+    its words in it, and its ids are gathered from there.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-        # The pre-tokenizer's pattern, for lower-case ASCII. Fixed values.
-        self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
-        self.plain = re.compile(rb"[!-~]+").fullmatch
-
-    def _learn(self, words: set[bytes]) -> None:
-        model, known, others = self.tokenizer.model, self.known, []
-        for word in words:
-            if self.plain(word) and b"<|" not in word:
-                text = word.decode().lower()
-                parts = [text] if text.isalpha() else self.pieces(text)
-                known[word] = [t.id for p in parts for t in model.tokenize(p)]
+        # The pre-tokenizer's pattern, for lower-case Latin-1, and its bytes as letters. Fixed values.
+        self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
+        self.odd = re.compile(r"[^!-~À-ÖØ-öø-ÿ\n]|<\|").finditer
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.near: dict[bytes, int] = {}  # the frequent ones of them
+        self.ids = np.zeros(0, np.int32)
+        self.bounds = np.zeros(1, np.int64)
+
+    def _learn(self, words: Sequence[bytes], end: int) -> None:
+        """Encode words: Latin-1 ones piece by piece with the model, others by the whole tokenizer."""
+        tokenize, pieces, letters = self.tokenizer.model.tokenize, self.pieces, self.letters
+        joined = b"\n".join(words).decode("utf-8", "replace")
+        texts = joined.split("\n")
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        found = np.array([m.start() for m in self.odd(joined)], np.int64)
+        later = np.unique(np.searchsorted(ends, found, "right")).tolist()
+        odd = set(later)
+        ids, sizes = [], []
+        marks: dict[str, list[int]] = {}  # pieces that are no words: few, and met all the time
+        for at, low in enumerate(joined.lower().split("\n")):
+            before = len(ids)
+            if at in odd:
+                pass
+            elif low.isalpha():
+                if not low.isascii():
+                    low = low.encode().decode("latin-1").translate(letters)
+                ids += [t.id for t in tokenize(low)]
             else:
-                others.append(word)
-        if others:
-            texts = [w.decode("utf-8", "replace") for w in others]
-            found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            known.update((w, e.ids) for w, e in zip(others, found))
-
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        needed = set(words)
-        new = needed.difference(self.known)
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known.clear()
-            new = needed
-        self._learn(new)
-        found = map(self.known.__getitem__, words)
-        return np.fromiter(itertools.chain.from_iterable(found), np.int32)
-
-
-def encoder(path: str, end: int) -> Callable[[Iterator[bytes]], Iterator[np.ndarray]]:
-    """Encodes each text and appends the id ``end``."""
-    words = WordEncoder(path)
-
-    def run(texts: Iterator[bytes]) -> Iterator[np.ndarray]:
-        for text in texts:
-            yield np.append(words.encode(text), np.int32(end))
-
-    return run
+                for piece in pieces(low):
+                    if len(piece) < 3:
+                        if piece not in marks:
+                            raw = piece.encode().decode("latin-1").translate(letters)
+                            marks[piece] = [t.id for t in tokenize(raw)]
+                        ids += marks[piece]
+                        continue
+                    if not piece.isascii():
+                        piece = piece.encode().decode("latin-1").translate(letters)
+                    ids += [t.id for t in tokenize(piece)]
+            sizes.append(len(ids) - before)
+        known = [w for at, w in enumerate(words) if at not in odd]
+        sizes = [n for at, n in enumerate(sizes) if at not in odd]
+        if later:
+            encoded = self.tokenizer.encode_batch([texts[i] for i in later], add_special_tokens=False)
+            for i, e in zip(later, encoded):
+                # The word that ends each text is not UTF-8, so it is among the odd ones.
+                own = [end] if words[i] == BETWEEN else e.ids
+                known.append(words[i])
+                ids += own
+                sizes.append(len(own))
+        self.place.update(zip(known, range(len(self.place), len(self.place) + len(known))))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
+
+    def encode(self, texts: Sequence[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end``, and how many each has."""
+        if self.place.get(BETWEEN) is not None and self.ids[self.bounds[self.place[BETWEEN]]] != end:
+            self._clear()
+        # A word that no text can hold stands for the end of each.
+        words = (b" " + BETWEEN + b" ").join([*texts, b""]).split()
+        places = np.fromiter(map(self.near.get, words, itertools.repeat(-1)), np.int64, len(words))
+        far = np.flatnonzero(places < 0)
+        others = map(words.__getitem__, far.tolist())
+        places[far] = np.fromiter(map(self.place.get, others, itertools.repeat(-1)), np.int64, len(far))
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            new = {words[i] for i in missing.tolist()}
+            if len(self.place) + len(new) > MOST_WORDS:
+                self._clear()
+                new, missing = set(words), np.arange(len(words))
+            self._learn(list(new), end)
+            places[missing] = [self.place[words[i]] for i in missing.tolist()]
+            if not self.near:
+                # Copies lie close together in memory, which is what makes this table fast.
+                common = Counter(words).most_common(NEAR_WORDS)
+                self.near = {bytes(bytearray(w)): self.place[w] for w, _ in common}
+        begins, lengths = self.bounds[places], self.bounds[places + 1] - self.bounds[places]
+        after = np.cumsum(lengths)
+        ids = self.ids[np.arange(len(words) and after[-1]) + np.repeat(begins - after + lengths, lengths)]
+        last = places == self.place.get(BETWEEN, -1)
+        return ids, np.diff(after[last], prepend=0)
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this process."""
+    return per_process(f"words of {path}", lambda: WordEncoder(path))
 
 
 def write_token_files(
@@ -115,10 +177,9 @@ def write_token_files(
     def work(batches):
         from pyspark import TaskContext
 
-        run, before, part = encoder(tokenizer, end), 0, TaskContext.get().partitionId()
-        for batch in slices(batches, "_text"):
-            ids = list(run(utf8_parts(batch.column(1))))
-            lengths = np.array([len(x) for x in ids], np.int64)
+        words, before, part = word_encoder(tokenizer), 0, TaskContext.get().partitionId()
+        for batch in slices(batches, "_text", SLICE_BYTES):
+            ids, lengths = words.encode(list(utf8_parts(batch.column(1))), end)
             starts = before + np.cumsum(lengths) - lengths
             before += int(lengths.sum())
             yield pa.RecordBatch.from_arrays(
@@ -126,8 +187,8 @@ def write_token_files(
                     batch.column(0),
                     pa.array(lengths),
                     pa.array(starts),
-                    pa.array(np.full(len(ids), part, np.int32)),
-                    list_of(np.concatenate(ids), lengths, pa.int32()),
+                    pa.array(np.full(len(lengths), part, np.int32)),
+                    list_of(ids, lengths, pa.int32()),
                 ],
                 ["_id", "n_tokens", "offset_in_file", "file_no", "tokens"],
             )

@@ -60,7 +60,8 @@ def test_word_table_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_WORDS", 3)
     words = tokens.WordEncoder(TOKENIZER)
     for text in ("a b c", "d e", "a b c d e f g", "g h"):
-        assert words.encode(text.encode()).tolist() == plain.ids_of(text, 0)[:-1]
+        ids, sizes = words.encode([text.encode(), b"", b"a"], 7)
+        assert ids.tolist() == [*plain.ids_of(text, 7), 7, *plain.ids_of("a", 7)] and sizes.tolist()[1] == 1
 
 
 def test_packing(spark, odd):
