@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlattice.functions.scale import pin
-from govlattice.llm.common import BLANK
+from govlattice.llm.common import BLANK, whole
 
 
+# Longest text in the sample, in bytes.
+SAMPLE_BYTES = 64 << 10
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -131,10 +133,13 @@ def _fires(rule: Rule) -> Column:
 def order_by_gain(docs: DataFrame, text_column: str, rules: Sequence[Rule], sample_rows: int) -> list[Rule]:
     """Rules by rejected rows per second on a sample of at most ``sample_rows``, the best first.
 
-    Each rule is run alone with just the features it needs, so its time is its
-    own; equal gains keep the given order.
+    The sample is the first rows with texts of at most ``SAMPLE_BYTES``, so the
+    driver can pass it on. Each rule is run alone with just the features it
+    needs, so its time is its own; equal gains keep the given order.
     """
-    sample = docs.select(F.col(text_column).alias("_text")).limit(sample_rows)
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    rows = docs.select(text.alias("_text")).filter(F.octet_length("_text") <= SAMPLE_BYTES).take(sample_rows)
+    sample = docs.sparkSession.createDataFrame(rows, "_text string")
     gains = []
     for rule in rules:
         began = time.perf_counter()
@@ -147,7 +152,7 @@ def judge_quality(
     docs: DataFrame,
     text_column: str = "text",
     rules: Sequence[Rule] | None = None,
-    sample_rows: int = 2_000,
+    sample_rows: int = 1_000,
 ) -> DataFrame:
     """Add all features, ``base_failed``, ``rejected_by`` and ``kept`` to every row.
 
@@ -172,7 +177,7 @@ def keep_good(
     docs: DataFrame,
     text_column: str = "text",
     rules: Sequence[Rule] | None = None,
-    sample_rows: int = 2_000,
+    sample_rows: int = 1_000,
 ) -> DataFrame:
     """Rows that no rule rejects, with their columns as they were.
 
@@ -181,8 +186,7 @@ def keep_good(
     rows and empty tables: as in :func:`judge_quality`.
     """
     rules = list(rules) if rules is not None else [*base_rules(), *further_rules()]
-    names = docs.columns
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_column).alias("_text"))
+    out = docs.select(whole(docs).alias("_row"), F.col(text_column).alias("_text"))
     have: set[str] = set()
     for rule in order_by_gain(docs, text_column, rules, sample_rows):
         if new := [f for f in rule.needs if f not in have]:
