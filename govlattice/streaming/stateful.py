@@ -102,7 +102,9 @@ def scan_conversation_stream(
 ) -> DataFrame:
     """Unsafe turns and unsafe windows of a feed of (conv_id, turn, text).
 
-    State is the last ``window - 1`` turns per conversation.
+    State is the last ``window - 1`` turns per conversation. With ``ttl_ms`` it
+    expires by the clock; such a query runs until it is stopped, also when it
+    was started with ``availableNow``.
     """
     if window <= 1:
         raise ValueError("a window has at least two turns")
