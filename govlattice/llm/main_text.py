@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govlattice.llm.common import broadcast_if_small
+from govlattice.llm.common import broadcast_if_small, fresh_folder
 from govlattice.llm.url_rules import host_of
-from govlattice.session import cut_lineage
 
 # Element names and class words that HTML and common practice give a meaning. Fixed values.
 SILENT = ("script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "math",
@@ -241,19 +240,27 @@ def extract_main_text(
         host_of(F.col(url_column)).alias("_host"),
         F.col(html_column).alias("_html"),
     )
-    parsed = cut_lineage(_parsed(rows, rows.schema["_id"].dataType.simpleString()))
+    folder = fresh_folder(pages.sparkSession, "regions")
+    found = _parsed(rows, rows.schema["_id"].dataType.simpleString())
+    found.write.option("compression", "zstd").parquet(folder)
+    parsed = pages.sparkSession.read.schema(found.schema).parquet(folder)
+    # Pages whose tags decide about every branch need nothing from the trees.
+    undecided = F.exists("_regions", lambda r: r["prior"] == OPEN)
+    sure = F.filter("_regions", lambda r: r["prior"] == KEPT)
+    clear = parsed.filter(~undecided).withColumn("_b", F.flatten(F.transform(sure, lambda r: r["blocks"])))
+    rest = parsed.filter(undecided)
     importance = broadcast_if_small(node_importance(parsed))
-    regions = parsed.select("_row", "_host", F.explode("_regions").alias("_r")).select(
+    regions = rest.select("_row", "_host", F.explode("_regions").alias("_r")).select(
         "_row", "_host", F.col("_r.path").alias("_path"), F.col("_r.prior").alias("_prior"), F.col("_r.blocks").alias("_blocks")
     )
     weight = F.when(F.col("_prior") == KEPT, F.lit(1.0)).otherwise(F.col("_prior") * F.col("importance"))
     kept = regions.filter(F.col("_prior") > REMOVED).join(importance, ["_host", "_path"]).filter(weight >= least)
-    blocks = kept.groupBy("_row").agg(F.sort_array(F.flatten(F.collect_list("_blocks"))).alias("_b"))
-    text = F.coalesce(F.array_join(F.transform("_b", lambda b: b["text"]), "\n"), F.lit(""))
-    joined = parsed.select("_id", "_url", "_row").join(blocks, "_row", "left").withColumn("text", text)
+    blocks = kept.groupBy("_row").agg(F.flatten(F.collect_list("_blocks")).alias("_b"))
+    names = ["_id", "_url", "_b"]
+    joined = clear.select(*names).unionByName(rest.join(blocks, "_row", "left").select(*names))
+    lines = F.transform(F.sort_array("_b"), lambda b: b["text"])
     return joined.select(
         F.col("_id").alias(id_column),
         F.col("_url").alias(url_column),
-        "text",
-        F.length("text").cast("bigint").alias("n_chars"),
-    )
+        F.coalesce(F.array_join(lines, "\n"), F.lit("")).alias("text"),
+    ).withColumn("n_chars", F.length("text").cast("bigint"))
