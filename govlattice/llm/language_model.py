@@ -93,6 +93,26 @@ def classes_of(words: list[bytes], settings: Settings) -> np.ndarray:
     return np.array([own[w] if w in own else bucket_of(w, settings) for w in words], np.int32)
 
 
+def frequent_words(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """Up to ``most`` of the most frequent words and their counts, in falling order (ties: by word).
+
+    A histogram over logarithmic ranges of the counts gives the range from which
+    on words are taken, all or none of a range, so nothing is sorted globally.
+    """
+    rank = F.floor(F.log2("c") * 32).cast("int")
+    ranges = bounded_rows(counts.groupBy(rank.alias("r")).agg(F.count(F.lit(1)).alias("n")), 64 * 32, "ranges")
+    least, total = 64 * 32, 0
+    for r in sorted(ranges, key=lambda r: -r["r"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["r"]
+    top = counts.filter(rank >= least).toArrow()
+    words, held = top.column(0).to_pylist(), top.column(1).to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-held[i], words[i]))
+    return [words[i] for i in order], held[order]
+
+
 class Vocabulary:
     """The words that tasks hold, and classes of all words."""
 
@@ -220,10 +240,12 @@ def score_texts(
     kind = rows.schema["_id"].dataType.simpleString()
     training = rows.filter("not held_out")
     counts = cut_lineage(count_words(training))
-    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    # Bounded by the setting, not by the corpus.
-    top = counts.orderBy(F.desc("c"), "word").limit(settings.known_words).toArrow()
-    words, weights = top.column(0).to_pylist(), top.column(1).to_numpy()
+    size = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+        F.count(F.lit(1)).alias("v"),
+        F.coalesce(F.max(F.when(F.col("word") == F.lit(bytearray(END)), F.col("c"))), F.lit(0)).alias("ends"),
+    ).first()
+    words, weights = frequent_words(counts, settings.known_words)
     classes = classes_of(words, settings)
     held = spark.sparkContext.broadcast((words, classes))
     # At most classes x classes cells.
@@ -243,7 +265,7 @@ def score_texts(
         of_buckets[r["k"]] += r["t"]
     for i in np.flatnonzero(classes <= settings.words).tolist():
         of_buckets[bucket_of(words[i], settings) - settings.words - 1] -= weights[i] + 1
-    ends = sum(int(c) for w, c in zip(words, weights) if w == END)
+    ends = size["ends"]
     scale = float(np.log10(size["n"] + size["v"] + 1))
     model = spark.sparkContext.broadcast(
         (logs, np.log10(weights + 1.0), np.log10(of_buckets), scale, float(np.log10(ends + 1)), int(ends > 0))
