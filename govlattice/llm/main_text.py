@@ -4,10 +4,11 @@ The element trees of all pages of a host are merged: elements with the same
 path of tags and classes are one node. Branches of a page are judged at its
 containers (article, nav, div and the like). A node is important if its
 presentation varies between pages, and if its texts do: both are entropies, of
-the sequences of child tags and of the texts over the pages of the host. What
-tags and classes say outright (article, footer, adverts, comments, ...) weighs
-more than the entropies, which decide about all other branches. Branches of
-low importance are removed.
+the sequences of child tags and of the texts over the pages of the host. Tags
+and classes that say outright what is no text (footer, adverts, comments, ...)
+remove a branch. All others are judged by their importance, those of an article
+too: being in or beside an article is a weight of it. Branches of low weight
+are removed.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlattice.llm.common import broadcast_if_small, fresh_folder
+from govlattice.llm.common import fresh_folder
 from govlattice.llm.url_rules import host_of
+from govlattice.session import cut_lineage
 
 # Element names and class words that HTML and common practice give a meaning. Fixed values.
 SILENT = ("script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "math",
@@ -53,8 +55,8 @@ _TAG = re.compile(
 )
 _CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
-#: Weights of what tags and classes say: removed, kept, or left to the entropies.
-REMOVED, OPEN, KEPT = 0.0, 0.5, 1.0
+#: Weights of what tags and classes say: removed, beside an article, no article in the page, in an article.
+REMOVED, BESIDE, OPEN, KEPT = 0.0, 0.25, 0.5, 1.0
 
 
 class _Region:
@@ -148,7 +150,10 @@ def _hash(text: str) -> int:
 
 
 def _parsed(pages: DataFrame, kind: str) -> DataFrame:
-    """Per page: ``_row``, and a list of regions with path, prior, presentation, texts and their hashes."""
+    """Per page: ``_row``, a hash of its texts, and the regions that no tag removes.
+
+    Regions have path, prior, presentation, texts and their hashes.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,27 +169,29 @@ def _parsed(pages: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                rows, numbers = [], []
+                rows, numbers, prints = [], [], []
                 for text in part.column(3):
                     regions, blocks = parse_page(text.as_py() or "")
                     main = any(r.prior == KEPT for r in regions)
                     held = [
-                        {"path": r.path, "prior": REMOVED if main and r.prior == OPEN else r.prior,
+                        {"path": r.path, "prior": BESIDE if main and r.prior == OPEN else r.prior,
                          "style": _hash(" ".join(r.children)), "blocks": [], "features": []}
                         for r in regions
                     ]
                     for at, (region, line) in enumerate(blocks):
                         held[region]["blocks"].append({"at": at, "text": line})
                         held[region]["features"].append(_hash(line))
-                    rows.append([r for r in held if r["blocks"]])
+                    rows.append([r for r in held if r["blocks"] and r["prior"] > REMOVED])
+                    prints.append(_hash(repr([(r["path"], r["features"]) for r in rows[-1]])))
                     numbers.append(number)
                     number += 1
-                columns = [part.column(0), part.column(1), part.column(2), pa.array(numbers), pa.array(rows, region_kind)]
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "_url", "_host", "_row", "_regions"])
+                columns = [part.column(0), part.column(1), part.column(2), pa.array(numbers, pa.int64()),
+                           pa.array(prints, pa.int64()), pa.array(rows, region_kind)]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "_url", "_host", "_row", "_print", "_regions"])
 
     return pages.mapInArrow(
         work,
-        f"_id {kind}, _url string, _host string, _row bigint, _regions array<struct<path: string, prior: double,"
+        f"_id {kind}, _url string, _host string, _row bigint, _print bigint, _regions array<struct<path: string, prior: double,"
         " style: bigint, blocks: array<struct<at: bigint, text: string>>, features: array<bigint>>>",
     )
 
@@ -195,10 +202,13 @@ def node_importance(parsed: DataFrame, decay: float = 0.9) -> DataFrame:
     With l presentations over m pages (l <= m), ``(1 - decay^l) * presentation +
     decay^l * content``: presentation is the entropy of the presentations to the base m,
     content one minus the mean, over texts, of log_m(pages with the text). A
-    node of one page has importance 1. All sums are formed per value first, so a
-    host of any size is never gathered.
+    node of one page has importance 1. Pages of a host with the same texts (but
+    for what their tags remove) are one page. All sums are formed per value
+    first, so a host of any size is never gathered.
     """
-    nodes = parsed.select("_host", F.explode("_regions").alias("_r")).select(
+    narrow = F.transform("_regions", lambda r: F.struct(r["path"], r["style"], r["features"]))
+    pages = parsed.select("_host", "_print", narrow.alias("_regions")).dropDuplicates(["_host", "_print"])
+    nodes = pages.select("_host", F.explode("_regions").alias("_r")).select(
         "_host", F.col("_r.path").alias("_path"), F.col("_r.style").alias("_style"), F.col("_r.features").alias("_f")
     )
     styles = nodes.groupBy("_host", "_path", "_style").agg(F.count(F.lit(1)).alias("c"))
@@ -224,15 +234,18 @@ def extract_main_text(
     url_column: str = "url",
     html_column: str = "html",
     least: float = 0.15,
+    held_nodes: int = 20_000,
 ) -> DataFrame:
     """One row per page: id, url, ``text`` (blocks joined by a line break; empty if none), ``n_chars``.
 
-    A branch stays if what its tags say times the importance of its node is at
-    least ``least``; article elements always stay and boilerplate never does,
-    and where a page has an article, branches outside it go. White space inside
-    a block is one space. Null pages and urls are empty pages and hosts;
-    repeated rows are extracted each, their texts counting as repeated; an
-    empty table gives no rows; other columns are not read.
+    A branch that tags or classes remove goes with all below it. Any other one,
+    in an article or not, stays if the importance of its node times the weight
+    of its place is at least ``least``: 1 in an article, 0.5 in a page without
+    one, 0.25 beside one. White space inside a block is one space. Null pages
+    and urls are empty pages and hosts; repeated rows are extracted each and
+    are one page of the trees; an empty table gives no rows; other columns are
+    not read. Template nodes are looked up in place up to ``held_nodes`` of
+    them, and joined else.
     """
     rows = pages.select(
         F.col(id_column).alias("_id"),
@@ -244,20 +257,26 @@ def extract_main_text(
     found = _parsed(rows, rows.schema["_id"].dataType.simpleString())
     found.write.option("compression", "zstd").parquet(folder)
     parsed = pages.sparkSession.read.schema(found.schema).parquet(folder)
-    # Pages whose tags decide about every branch need nothing from the trees.
-    undecided = F.exists("_regions", lambda r: r["prior"] == OPEN)
-    sure = F.filter("_regions", lambda r: r["prior"] == KEPT)
-    clear = parsed.filter(~undecided).withColumn("_b", F.flatten(F.transform(sure, lambda r: r["blocks"])))
-    rest = parsed.filter(undecided)
-    importance = broadcast_if_small(node_importance(parsed))
-    regions = rest.select("_row", "_host", F.explode("_regions").alias("_r")).select(
-        "_row", "_host", F.col("_r.path").alias("_path"), F.col("_r.prior").alias("_prior"), F.col("_r.blocks").alias("_blocks")
-    )
-    weight = F.when(F.col("_prior") == KEPT, F.lit(1.0)).otherwise(F.col("_prior") * F.col("importance"))
-    kept = regions.filter(F.col("_prior") > REMOVED).join(importance, ["_host", "_path"]).filter(weight >= least)
-    blocks = kept.groupBy("_row").agg(F.flatten(F.collect_list("_blocks")).alias("_b"))
-    names = ["_id", "_url", "_b"]
-    joined = clear.select(*names).unionByName(rest.join(blocks, "_row", "left").select(*names))
+    # Nodes that are removed in some place; all others stay wherever they are.
+    low = node_importance(parsed).filter(F.col("importance") * BESIDE < least)
+    low = cut_lineage(low)
+
+    def stays(prior: Column, importance: Column) -> Column:
+        return prior * F.coalesce(importance, F.lit(1.0)) >= least
+
+    if low.limit(held_nodes + 1).count() <= held_nodes:
+        # A short list per host: the texts stay where they are.
+        entries = F.map_from_entries(F.collect_list(F.struct("_path", "importance"))).alias("_low")
+        hosts = F.broadcast(low.groupBy("_host").agg(entries))
+        kept = F.filter("_regions", lambda r: stays(r["prior"], F.element_at("_low", r["path"])))
+        joined = parsed.join(hosts, "_host", "left").withColumn("_b", F.flatten(F.transform(kept, lambda r: r["blocks"])))
+    else:
+        regions = parsed.select("_row", "_host", F.explode("_regions").alias("_r")).select(
+            "_row", "_host", F.col("_r.path").alias("_path"), F.col("_r.prior").alias("_prior"), F.col("_r.blocks").alias("_blocks")
+        )
+        kept = regions.join(low, ["_host", "_path"], "left").filter(stays(F.col("_prior"), F.col("importance")))
+        blocks = kept.groupBy("_row").agg(F.flatten(F.collect_list("_blocks")).alias("_b"))
+        joined = parsed.select("_row", "_id", "_url").join(blocks, "_row", "left")
     lines = F.transform(F.sort_array("_b"), lambda b: b["text"])
     return joined.select(
         F.col("_id").alias(id_column),

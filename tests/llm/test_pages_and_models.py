@@ -188,3 +188,18 @@ def test_scores_beat_word_frequencies(spark, held):
     scored = language_model.score_texts(docs, settings=settings).filter(f"held_out = {held}")
     row = scored.selectExpr("sum(score) - sum(base_score)", "sum(n_tokens)").first()
     assert row[0] > 0.1 * row[1]
+
+
+@pytest.mark.parametrize("held_nodes", [20_000, 0])
+def test_trees_judge_pages_with_articles(spark, held_nodes):
+    """A box that all articles of a host share goes, what varies beside an article stays, copies count once."""
+    pages = []
+    for i in range(30):
+        body = "".join(f"<p>text {i} {k}</p>" for k in range(1 + i % 7))
+        pages.append((i, "https://t.org/p", f"<article><div class=box><p>Read on</p></div>{body}</article>"
+                      f"<div class=b><p>more {i}</p>{'<p>and more</p>' * (i % 7)}</div><div class=z><p>The end</p></div>"))
+    pages += [(100 + i, "https://copies.org/", "<article><p>one page</p></article><footer>" + "x" * i + "</footer>") for i in range(30)]
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in main_text.extract_main_text(table, held_nodes=held_nodes).collect()}
+    wanted = {i: "\n".join([f"text {i} {k}" for k in range(1 + i % 7)] + [f"more {i}"] + ["and more"] * (i % 7)) for i in range(30)}
+    assert got == wanted | {100 + i: "one page" for i in range(30)}
