@@ -45,6 +45,9 @@ BOILERPLATE_WORDS = frozenset(
     " notices pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe"
     " toolbar widget widgets".split()
 )
+# Words that only say which: a class of one of the above and these still names it ("site-footer"), "has-sidebar" does not.
+WHICH = frozenset("bottom global left main mobile page post primary right secondary site sub the top".split())
+CONTENT_CLASSES = ("articlebody", "main", "main-content", "content-main", "main_content")
 _CLOSED_BY_BLOCK = ("p",)
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
@@ -60,23 +63,63 @@ REMOVED, BESIDE, OPEN, KEPT = 0.0, 0.25, 0.5, 1.0
 
 
 class _Region:
-    __slots__ = ("path", "prior", "children")
+    __slots__ = ("path", "above", "name", "classes", "prior", "children", "size")
 
-    def __init__(self, path: str, prior: float):
-        self.path, self.prior = path, prior
+    def __init__(self, path: str, above: _Region | None, name: str, classes: list[str]):
+        self.path, self.above, self.name, self.classes = path, above, name, classes
+        self.prior, self.size = OPEN, 0
         self.children: list[str] = []
 
 
-def _prior(name: str, words: set[str], above: _Region) -> float:
-    if above.prior == REMOVED:
+def _names_boilerplate(name: str) -> bool:
+    """Whether a whole class says so, not only a part of it."""
+    words = set(_WORDS.findall(name))
+    return bool(words & BOILERPLATE_WORDS) and words <= BOILERPLATE_WORDS | WHICH
+
+
+def _prior(region: _Region, above: float, wrappers: set[_Region]) -> float:
+    if above == REMOVED:
         return REMOVED
-    inside = above.prior == KEPT
-    if name in BOILERPLATE or words & BOILERPLATE_WORDS or (name == "header" and not inside):
+    inside, name = above == KEPT, region.name
+    named = {c for c in region.classes if _names_boilerplate(c)} if name != "body" else set()
+    if name in BOILERPLATE or named or (name == "header" and not inside):
         # A header, or a class that only names one, is part of an article when it stands in it.
-        if inside and name in ("header", "hgroup", "div", "h1", "h2", "section") and words & BOILERPLATE_WORDS <= {"header"}:
+        if inside and name in ("header", "hgroup", "div", "h1", "h2", "section") and named <= {"header"}:
             return KEPT
-        return REMOVED
-    return KEPT if inside or name in CONTENT or words & {"articlebody", "main"} else OPEN
+        if region not in wrappers:
+            return REMOVED
+    return KEPT if inside or name in CONTENT or not set(CONTENT_CLASSES).isdisjoint(region.classes) else OPEN
+
+
+def _weigh(regions: list[_Region], blocks: list[tuple[int, str]]) -> None:
+    """Set the priors of a page's regions.
+
+    A form, or a container with a class of boilerplate, is a wrapper and is not
+    removed if the only articles of the page are in it; a form also if it holds
+    half of the page's text. Articles in other boilerplate go with it.
+    """
+    for at, line in blocks:
+        region: _Region | None = regions[at]
+        while region:
+            region.size += len(line)
+            region = region.above
+
+    def judge(wrappers: set[_Region]) -> bool:
+        for r in regions[1:]:
+            r.prior = _prior(r, r.above.prior, wrappers)
+        return any(r.prior == KEPT and r.size for r in regions)
+
+    wrappers = {r for r in regions if r.name == "form" and 2 * r.size >= regions[0].size}
+    if not judge(wrappers):
+        for region in regions:
+            if region.name in CONTENT and region.size and not any(map(_names_boilerplate, region.classes)):
+                outer, around = region.above, set()
+                while outer and (outer.name not in BOILERPLATE or outer.name == "form") and outer.name != "header":
+                    around.add(outer)
+                    outer = outer.above
+                if outer is None:
+                    wrappers |= around
+        judge(wrappers)
 
 
 def parse_page(text: str) -> tuple[list[_Region], list[tuple[int, str]]]:
@@ -85,7 +128,7 @@ def parse_page(text: str) -> tuple[list[_Region], list[tuple[int, str]]]:
     Unclosed elements end with their parent, a paragraph also at the next block.
     Text before any container belongs to the page itself.
     """
-    root = _Region("", OPEN)
+    root = _Region("", None, "", [])
     regions, blocks, words = [root], [], []
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, region, silent
     at = 0
@@ -133,14 +176,16 @@ def parse_page(text: str) -> tuple[list[_Region], list[tuple[int, str]]]:
         if name in CONTAINERS:
             marks = " ".join(next(filter(None, m), "") for m in _CLASS.findall(attributes)).lower()
             above = regions[region]
-            label = f"{name}.{'.'.join(sorted(set(marks.split())))}" if marks else name
-            regions.append(_Region(f"{above.path}/{label}", _prior(name, set(_WORDS.findall(marks)), above)))
+            classes = sorted(set(marks.split()))
+            label = f"{name}.{'.'.join(classes)}" if classes else name
+            regions.append(_Region(f"{above.path}/{label}", above, name, classes))
             region = len(regions) - 1
         if name not in VOID and not attributes.endswith("/"):
             stack.append((name, region, silent or name in SILENT))
     if not stack[-1][2]:
         words.append(text[at:])
     end_block()
+    _weigh(regions, blocks)
     return regions, blocks
 
 
@@ -238,7 +283,8 @@ def extract_main_text(
 ) -> DataFrame:
     """One row per page: id, url, ``text`` (blocks joined by a line break; empty if none), ``n_chars``.
 
-    A branch that tags or classes remove goes with all below it. Any other one,
+    A branch that tags or whole class names remove goes with all below it,
+    unless it is wrapped around the articles of the page. Any other one,
     in an article or not, stays if the importance of its node times the weight
     of its place is at least ``least``: 1 in an article, 0.5 in a page without
     one, 0.25 beside one. White space inside a block is one space. Null pages

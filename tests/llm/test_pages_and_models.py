@@ -203,3 +203,26 @@ def test_trees_judge_pages_with_articles(spark, held_nodes):
     got = {r["page_id"]: r["text"] for r in main_text.extract_main_text(table, held_nodes=held_nodes).collect()}
     wanted = {i: "\n".join([f"text {i} {k}" for k in range(1 + i % 7)] + [f"more {i}"] + ["and more"] * (i % 7)) for i in range(30)}
     assert got == wanted | {100 + i: "one page" for i in range(30)}
+
+
+ARTICLE = "<article><p>The text</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        (f'<body class="has-sidebar">{ARTICLE}</body>', "The text"),
+        (f'<body class="sidebar"><div class="layout with-sidebar">{ARTICLE}</div><div class=sidebar><p>Side</div></body>', "The text"),
+        (f'<div id="content-no-comments">{ARTICLE}</div>', "The text"),
+        (f'<form id=aspnetForm><nav>Menu</nav>{ARTICLE}<div class="site-footer">Foot</div></form>', "The text"),
+        ("<form id=aspnetForm><nav>Menu</nav><div><p>A page without an article</div></form>", "A page without an article"),
+        (f'<div class="widget"><nav>Menu</nav>{ARTICLE}</div>', "The text"),
+        ('<article><div class="social-policy"><p>On social policy</div><div class="social-share">Tell</div></article>', "On social policy"),
+        (f'{ARTICLE}<div id=comments><article><p>First, and much longer than the text</p></article></div>', "The text"),
+        (f"<aside>{ARTICLE}</aside>", ""),
+        ('<div id=comments><article class="comment"><p>First</p></article></div>', ""),
+    ],
+)
+def test_wrappers_and_parts_of_class_names_remove_nothing(page, wanted):
+    regions, blocks = main_text.parse_page(page)
+    assert "\n".join(line for at, line in blocks if regions[at].prior > main_text.REMOVED) == wanted
