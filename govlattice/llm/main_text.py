@@ -27,9 +27,9 @@ from govlattice.llm.url_rules import host_of
 from govlattice.session import cut_lineage
 
 # Element names and class words that HTML and common practice give a meaning. Fixed values.
-SILENT = ("script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "math",
+SILENT = ("script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas",
           "textarea", "select", "button")
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg")
+RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 BLOCKS = ("address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir",
           "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -159,11 +159,11 @@ def parse_page(text: str) -> tuple[list[_Region], list[tuple[int, str]]]:
             continue
         if name not in BLOCKS and name not in SILENT:
             continue  # inline elements only mark text up
-        if tag["close"]:
+        if name != "svg":  # a drawing in a line does not end it
             end_block()
+        if tag["close"]:
             close((name,), ())
             continue
-        end_block()
         if name == "body":
             close(("head",), ())
         if name in BLOCKS:

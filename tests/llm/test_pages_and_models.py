@@ -226,3 +226,18 @@ ARTICLE = "<article><p>The text</p></article>"
 def test_wrappers_and_parts_of_class_names_remove_nothing(page, wanted):
     regions, blocks = main_text.parse_page(page)
     assert "\n".join(line for at, line in blocks if regions[at].prior > main_text.REMOVED) == wanted
+
+
+@pytest.mark.parametrize(
+    ("inner", "wanted"),
+    [
+        ('<svg class="i"/><p>text of article</p>', "text of article"),
+        ('<p>one <svg viewBox="0 0 1 1"><title>Icon</title><text>drawn</text><path d=""/></svg> two</p>', "one two"),
+        ('<svg><g><svg/></g><text>drawn</text></svg><p>after</p><svg/><p>end</p>', "after\nend"),
+        ("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "where x=2 holds"),
+        ("<p>open <svg><text>drawn</p><p>next</p>", "open\nnext"),
+    ],
+)
+def test_drawings_swallow_nothing_and_formulas_stay(inner, wanted):
+    regions, blocks = main_text.parse_page(f"<article>{inner}</article>")
+    assert "\n".join(line for _, line in blocks) == wanted
