@@ -269,6 +269,30 @@ def shortest_article_paths(spark, base):
     return out.select("src", "dst", F.array_join("path", ">").alias("path"), "hops")
 
 
+def _wide_articles(spark, base):
+    """Orders as articles that mention two other orders, spread over all of them."""
+    orders = table(spark, base, "orders")
+    # One row.
+    orders = orders.join(F.broadcast(orders.agg((F.max("o_orderkey") + 1).alias("_m"))))
+    number = F.col("o_orderkey").cast("string")
+    return orders.select(
+        F.concat(F.lit("Art. "), number, F.lit("º")).alias("article"),
+        F.expr(
+            "concat('veja o Art. ', (o_orderkey * 31 + o_custkey * 7 + 1) % _m, 'º e o art ', (o_orderkey * 7 + 3) % _m, ' desta lei')"
+        ).alias("text"),
+        F.concat(F.lit("art_"), number).alias("src"),
+        F.expr("concat('art_', (o_orderkey * 49 + 5) % _m)").alias("dst"),
+    )
+
+
+@query("shortest_article_paths_of_any_length")
+def shortest_article_paths_of_any_length(spark, base):
+    """From every article to one fixed other, both anywhere in the table, however many mentions away."""
+    corpus = _wide_articles(spark, base)
+    out = G.shortest_paths(G.mention_edges(corpus), corpus.select("src", "dst"))
+    return out.select("src", "dst", F.array_join("path", ">").alias("path"), "hops")
+
+
 @query("synthetic_customers")
 def synthetic_customers(spark, base):
     """A made-up identity for every customer, checked by the detector."""

@@ -326,3 +326,32 @@ def test_robustness(spark):
     a = {r.id: r.x_adv for r in B.pgd(df, model).collect()}
     b = {r.id: r.x_adv for r in B.pgd(df.repartition(7), model).collect()}
     assert a == b
+
+
+def test_article_paths_of_any_length(spark):
+    """Equal to a plain search over the whole table; many paths have five mentions or more."""
+    from govlattice.catalog import knowledge as K
+
+    base = "/root/testdata/sf0.001"
+    orders = [(r.o_orderkey, r.o_custkey) for r in spark.read.parquet(f"{base}/orders.parquet").collect()]
+    m = max(k for k, _ in orders) + 1
+    known = {k for k, _ in orders}
+    to = {k: sorted({f"art_{x}" for x in ((k * 31 + c * 7 + 1) % m, (k * 7 + 3) % m) if x != k and x in known}) for k, c in orders}
+    wanted = {}
+    for k, _ in orders:
+        src, dst = f"art_{k}", f"art_{(k * 49 + 5) % m}"
+        level = {src: [src]}
+        seen = {src}
+        while level and dst not in level:
+            following = {}
+            for at, path in level.items():
+                for x in to[int(at[4:])]:
+                    if x not in seen:
+                        following[x] = min(following.get(x, [*path, x]), [*path, x])
+            seen |= set(following)
+            level = following
+        if dst in level:
+            wanted[src, dst] = (">".join(level[dst]), len(level[dst]) - 1)
+    got = {(r.src, r.dst): (r.path, r.hops) for r in K.QUERIES["shortest_article_paths_of_any_length"](spark, base).collect()}
+    assert got == wanted
+    assert sum(hops > 4 for _, hops in got.values()) > len(got) // 2
