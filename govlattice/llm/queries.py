@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlattice.llm.chat import conversations_of, format_preferences, mask_text, swapped_replies
+from govlattice.llm.collocations import collocations
 from govlattice.llm.common import read
 from govlattice.llm.decontamination import find_contamination
 from govlattice.llm.language_model import score_texts
+from govlattice.llm.line_runs import drop_repeated_lines
 from govlattice.llm.main_text import extract_main_text
 from govlattice.llm.packing import pack_documents
 from govlattice.llm.quality import judge_quality
@@ -17,6 +19,7 @@ from govlattice.llm.repeats import remove_repeats
 from govlattice.llm.simhash import near_duplicates
 from govlattice.llm.tokens import token_digest
 from govlattice.llm.url_rules import host_rule, judge_urls
+from govlattice.llm.whitening import whiten
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [
@@ -91,6 +94,20 @@ def op10_suffix_array_dedup(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, base: str) -> DataFrame:
+    return collocations(read(spark, base, "documents"))
+
+
+def op12_line_runs(spark: SparkSession, base: str) -> DataFrame:
+    found = drop_repeated_lines(read(spark, base, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_refined_whitening(spark: SparkSession, base: str) -> DataFrame:
+    found = whiten(read(spark, base, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -104,6 +121,9 @@ QUERIES = {
         op8_preference_pairs,
         op9_log_bilinear_scores,
         op10_suffix_array_dedup,
+        op11_collocations,
+        op12_line_runs,
+        op13_refined_whitening,
     )
 }
 
@@ -198,9 +218,54 @@ SELECT conv_id, n_common::BIGINT AS n_common, {_render_sql("ch[1 : n_common]")}
 FROM k
 """
 
+_COLLOCATION_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM w, unnest(range(1, len(ws) + 1)) AS r(i)),
+one AS (SELECT lang, x, count(*) AS c FROM t GROUP BY ALL),
+two AS (SELECT lang, x, y, count(*) AS c FROM t WHERE y IS NOT NULL GROUP BY ALL),
+three AS (SELECT lang, x, y, z, count(*) AS c FROM t WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(c)::BIGINT AS n FROM one GROUP BY lang),
+cover AS (SELECT lang, x, y, max(c) AS c FROM (
+    SELECT lang, x, y, c FROM three UNION ALL SELECT lang, y, z, c FROM three) GROUP BY ALL),
+pairs AS (
+  SELECT two.lang, two.x || ' ' || two.y AS phrase, two.c AS a, o.c AS l, q.c AS r
+  FROM two JOIN one AS o ON o.lang = two.lang AND o.x = two.x JOIN one AS q ON q.lang = two.lang AND q.x = two.y
+  LEFT JOIN cover AS v ON v.lang = two.lang AND v.x = two.x AND v.y = two.y
+  WHERE two.c >= 10 AND NOT coalesce(100 * v.c >= 50 * two.c, false)),
+cuts AS (
+  SELECT k.lang, k.x || ' ' || k.y || ' ' || k.z AS phrase, k.c AS a, 1 AS cut, o.c AS l, q.c AS r
+  FROM three AS k JOIN one AS o ON o.lang = k.lang AND o.x = k.x JOIN two AS q ON q.lang = k.lang AND q.x = k.y AND q.y = k.z
+  UNION ALL
+  SELECT k.lang, k.x || ' ' || k.y || ' ' || k.z, k.c, 2, o.c, q.c
+  FROM three AS k JOIN two AS o ON o.lang = k.lang AND o.x = k.x AND o.y = k.y JOIN one AS q ON q.lang = k.lang AND q.x = k.z),
+scored AS (
+  SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score
+  FROM (SELECT *, 1 AS cut FROM pairs UNION ALL BY NAME SELECT * FROM cuts)),
+least_cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least_cut JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+_LINE_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line, translate(regexp_replace(ls[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM d, unnest(range(1, len(ls) + 1)) AS r(i)),
+f AS (SELECT k, max(doc_id) AS top FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT l.*, coalesce(f.top <> l.doc_id, false) AS gone FROM l LEFT JOIN f USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 ORACLES = {
     "op2_url_automaton": _URL_SQL,
     "op5_quality_cascade": _QUALITY_SQL,
     "op6_positional_decontamination": _CONTAMINATION_SQL,
     "op8_preference_pairs": _CHAT_SQL,
+    "op11_collocations": _COLLOCATION_SQL,
+    "op12_line_runs": _LINE_SQL,
 }
