@@ -66,6 +66,17 @@ def exact_dot(y: np.ndarray, other: list[int]) -> np.ndarray:
     return y.astype(object) @ np.array(other, object)
 
 
+def _state(a: np.ndarray, x: np.ndarray) -> tuple:
+    """Vectors by falling eigenvalue, what they lack in orthogonality and diagonality, and the gap that can be trusted."""
+    r, s = np.eye(len(a), dtype=a.dtype) - x.T @ x, x.T @ (a @ x)
+    values = np.diag(s) / (1 - np.diag(r))
+    order = np.argsort(-values, kind="stable")
+    r, s = r[np.ix_(order, order)], s[np.ix_(order, order)]
+    off = s - np.diag(np.diag(s))
+    reach = 2 * (np.sqrt((off * off).sum()) + np.sqrt((a * a).sum()) * np.sqrt((r * r).sum()))
+    return x[:, order], r, off, values[order], reach
+
+
 def refined_eigenvectors(a: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues in falling order and unit eigenvectors (columns) of a symmetric matrix, in extended precision."""
     size = len(a)
@@ -79,13 +90,9 @@ def refined_eigenvectors(a: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, n
     for _ in range(2):
         x = x + x @ (unit - x.T @ x) / 2
     small = np.finfo(np.longdouble).eps * 8
+    last = np.inf
     for _ in range(rounds):
-        r, s = unit - x.T @ x, x.T @ (a @ x)
-        values = np.diag(s) / (1 - np.diag(r))
-        order = np.argsort(-values, kind="stable")
-        x, r, s, values = x[:, order], r[order][:, order], s[order][:, order], values[order]
-        off = s - np.diag(np.diag(s))
-        reach = 2 * (np.sqrt((off * off).sum()) + np.sqrt((a * a).sum()) * np.sqrt((r * r).sum()))
+        x, r, off, values, reach = _state(a, x)
         turned = False
         borders = np.flatnonzero(values[:-1] - values[1:] > reach) + 1
         for lo, hi in zip([0, *borders], [*borders, size]):
@@ -93,26 +100,27 @@ def refined_eigenvectors(a: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, n
             if hi - lo == 1 or np.abs(block).max() <= small:
                 continue
             # The subspace's own eigenproblem, moved to zero: its differences now count in full.
-            inner = s[lo:hi, lo:hi] - values[lo:hi].mean() * (unit - r)[lo:hi, lo:hi]
+            inner = block + np.diag(values[lo:hi] - values[lo:hi].mean())
             own = np.linalg.eigh((inner / np.abs(inner).max()).astype(float))[1][:, ::-1]
             x[:, lo:hi] = x[:, lo:hi] @ own.astype(np.longdouble)
             turned = True
         if turned:
-            r, s = unit - x.T @ x, x.T @ (a @ x)
-            values = np.diag(s) / (1 - np.diag(r))
-            off = s - np.diag(np.diag(s))
+            x, r, off, values, reach = _state(a, x)
         gap = values[None, :] - values[:, None]
-        # A pair is resolved if its own coupling is small beside its gap; others only become orthogonal.
-        apart = np.abs(gap) > 4 * (np.abs(off) + np.abs(values)[None, :] * np.abs(r)) + small
-        step = np.where(apart, (s + values[None, :] * r) / np.where(apart, gap, 1), r / 2)
+        # Pairs that are too close for now only become orthogonal.
+        apart = np.abs(gap) > reach
+        step = np.where(apart, (off + values[None, :] * r) / np.where(apart, gap, 1), r / 2)
         np.fill_diagonal(step, np.diag(r) / 2)
         x = x + x @ step
-        if np.abs(step).max() <= small:
+        change = np.abs(step).max()
+        # Each round squares the error, down to the rounding of the products over the smallest gap.
+        if not turned and (change <= small or (last < 1e-10 and change > last / 2)):
             break
-    s = x.T @ (a @ x)
-    values = np.diag(s) / (x * x).sum(axis=0)
+        last = np.inf if turned else change
+    x = x + x @ (unit - x.T @ x) / 2
+    values = np.diag(x.T @ (a @ x))
     order = np.argsort(-values, kind="stable")
-    return values[order] * scale, x[:, order] / np.sqrt((x * x).sum(axis=0))[order]
+    return values[order] * scale, x[:, order]
 
 
 @dataclass(frozen=True)
