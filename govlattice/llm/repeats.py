@@ -13,14 +13,13 @@ of first bytes - and neighbours that share ``least`` bytes are repeats.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlattice.llm.common import slices, utf8_parts
+from govlattice.llm.common import per_process, slices, utf8_parts
 from govlattice.session import cut_lineage
 
 GRAM = 100
@@ -36,8 +35,15 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; the longest table so far is kept for later texts."""
+    held = per_process("powers", dict)
+    if len(held.get("both", ((),))[0]) < size:
+        held["both"] = _new_powers(size)
+    return held["both"]
+
+
+def _new_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
     both = []
     for x in (base, inverse):
