@@ -14,6 +14,8 @@ from govlattice.llm.repeats import remove_repeats
 from govlattice.llm.simhash import keep_one_of_each
 
 TOKENIZER = "word_bpe_49k.json"
+# Passages of over 50 words are at least this long: on the given tables those that repeat have 254 bytes and more.
+PASSAGE_BYTES = 250
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 400 bytes and more that occur elsewhere too."""
+    """All documents, without the passages of about 50 words and more that occur elsewhere too."""
     rows = docs.select("doc_id", "text", whole(docs).alias("row"))
-    cut = remove_repeats(rows, carry=["row"], as_text=True)
+    cut = remove_repeats(rows, least=PASSAGE_BYTES, carry=["row"], as_text=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
     return cut.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
