@@ -93,7 +93,7 @@ def test_pipeline(spark, docs, table):
     rest = [(i, t) for i, t in docs if plain.quality(t)[-1]]
     groups = plain.groups([plain.simhash(t) for _, t in rest])
     rest = [d for k, d in enumerate(rest) if groups[k] == k]
-    cut = plain.repeats([t for _, t in rest])
+    cut = plain.repeats([t for _, t in rest], corpus_pipeline.PASSAGE_BYTES)
     rest = [(i, kept.decode("utf-8", "ignore")) for (i, _), (_, _, kept) in zip(rest, cut)]
     bad = plain.contamination(rest, [(r[0], r[1]) for r in table["benchmark"]])
     rest = [d for d, b in zip(rest, bad) if not b[-1]]
