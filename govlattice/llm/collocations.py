@@ -29,7 +29,7 @@ from govlattice.session import cut_lineage
 
 # Bits of the map; 16 for each entry as long as that is fewer.
 MOST_BITS = 1 << 26
-SLICE = 8 << 20
+SLICE = 3 << 20
 PIECE_END, BLANK = 10, 32
 MILLION = Decimal(1_000_000)
 # What an entry of the map says of a pair, or of a word.
@@ -172,7 +172,7 @@ def _count(rows: DataFrame, size: int, held=None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_table()
         bitmap = BitMap(*held.value) if held is not None else None
-        for batch in slices(batches, "_text", 2 * SLICE):
+        for batch in slices(batches, "_text", SLICE):
             langs = batch.column(0).to_pylist()
             texts: dict[str, list[bytes]] = {}
             for lang, text in zip(langs, utf8_parts(batch.column(1))):
