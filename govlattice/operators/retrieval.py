@@ -1,9 +1,11 @@
 """Exact cosine retrieval over dense vectors and over hashed TF-IDF texts.
 
-Corpus rows never leave their partition: the queries, whose number is checked
-and which are handled in passes of bounded size, are sent to the rows. A
-partition keeps the k best rows per query while it streams over its batches, so
-what is shuffled is partitions x queries x k, not corpus x queries.
+Queries are tables of any size. Dense rows are packed into chunks where they
+are and meet blocks of queries as matrix products. Texts are searched through
+an inverted index whose postings lie in blocks of falling impact: the first
+blocks give each query a threshold, upper bounds then rule out most blocks and
+documents, and only what is left is scored in full. Nothing but counts comes
+to the driver.
 """
 
 from __future__ import annotations
@@ -12,14 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from govlattice.functions.text import words
-from govlattice.session import bounded_rows
+from govlattice.session import bounded_rows, cut_lineage
 from govlattice.sources.corpus import indexing_text
 
-QUERIES_PER_PASS = 512
+QUERIES_PER_BLOCK = 256
+ROWS_PER_CHUNK = 4_096
+# Blocks of queries that are broadcast; more are joined by their number.
+BLOCKS_HELD = 64
 HASH_SPACE = 65_536
 ROUND = 6
 
@@ -56,33 +62,10 @@ def _merge_best(best: list, scores: np.ndarray, ids: np.ndarray, k: int) -> None
         best[q] = (s[order], i[order])
 
 
-def _emit(best: list, query_ids: list, id_name: str) -> pd.DataFrame:
-    return pd.concat(
-        [
-            pd.DataFrame({"query_id": qid, id_name: i, "score": s})
-            for qid, (s, i) in zip(query_ids, best)
-        ],
-        ignore_index=True,
-    )
-
-
 def _fresh(n: int) -> list:
     return [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in range(n)]
 
 
-def _query_passes(queries: DataFrame, query_id: str, columns: list[str]) -> Iterator[list]:
-    """The queries in passes small enough to hold, in order of their id."""
-    after = None
-    while True:
-        left = queries if after is None else queries.filter(F.col(query_id) > after)
-        rows = left.select(query_id, *columns).orderBy(query_id).limit(QUERIES_PER_PASS).collect()
-        if rows:
-            yield rows
-        if len(rows) < QUERIES_PER_PASS:
-            return
-        after = rows[-1][query_id]
-
-
 def _top_k(partial: DataFrame, id_name: str, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_name)
     return (
@@ -92,6 +75,33 @@ def _top_k(partial: DataFrame, id_name: str, k: int) -> DataFrame:
     )
 
 
+def _units(flat: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a packed chunk or block."""
+    held = ids.to_numpy(zero_copy_only=False)
+    x = flat.to_numpy(zero_copy_only=False).reshape(len(held), -1)
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return held, np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+
+def _chunks(rows: DataFrame, most: int) -> DataFrame:
+    """Vectors (``_id``, ``_v``) packed where they are: ``ids``, ``flat``, at most ``most`` rows each."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                ids, flat = part.column(0), part.column(1).flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                        pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat),
+                    ],
+                    ["ids", "flat"],
+                )
+
+    return rows.mapInArrow(pack, "ids array<bigint>, flat array<double>")
+
+
 def nearest_vectors(
     corpus: DataFrame,
     queries: DataFrame,
@@ -101,40 +111,42 @@ def nearest_vectors(
     query_id: str = "query_id",
     query_vector: str = "query_vector",
 ) -> DataFrame:
-    """The k most similar corpus rows of every query: query_id, item, rank, score."""
-    k = max(1, k)
-    schema = f"query_id bigint, {item} bigint, score double"
-    rows = corpus.select(F.col(item).cast("bigint").alias(item), F.col(vector).alias("_v"))
-    parts = []
-    for batch in _query_passes(queries, query_id, [query_vector]):
-        ids = [int(r[query_id]) for r in batch]
-        matrix = np.array([r[query_vector] for r in batch], dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-        parts.append(rows.mapInPandas(_dense_scorer(matrix, ids, item, k), schema))
-    if not parts:
-        return corpus.sparkSession.createDataFrame(
-            [], f"query_id bigint, {item} bigint, rank int, score double"
-        )
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
-    return _top_k(partial, item, k)
-
-
-def _dense_scorer(matrix: np.ndarray, ids: list[int], item: str, k: int):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _fresh(len(ids))
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-            _merge_best(best, np.round(matrix @ x.T, ROUND), pdf[item].to_numpy(), k)
-        yield _emit(best, ids, item)
+    """The k most similar corpus rows of every query: query_id, item, rank, score.
 
-    return score
+    Every chunk of corpus rows meets every block of queries as one matrix
+    product and gives k rows a query; the best of these are ranked at the end.
+    Up to 64 blocks of about 256 queries are broadcast, more are joined by
+    number. Ties go to the smaller item.
+    """
+    k = max(1, k)
+    wide = "array<double>"
+    asked = queries.select(F.col(query_id).cast("bigint").alias("_id"), F.col(query_vector).cast(wide).alias("_v"))
+    many = -(-asked.count() // QUERIES_PER_BLOCK) or 1
+    number = F.pmod(F.xxhash64("_id"), F.lit(many)).cast("int").alias("block")
+    blocks = asked.groupBy(number).agg(F.collect_list(F.struct("_id", "_v")).alias("_q"))
+    blocks = blocks.select(
+        "block", F.col("_q._id").alias("asked"), F.flatten(F.transform("_q", lambda q: q["_v"])).alias("wanted")
+    )
+    rows = corpus.select(F.col(item).cast("bigint").alias("_id"), F.col(vector).cast(wide).alias("_v"))
+    chunks = _chunks(rows, ROWS_PER_CHUNK).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    met = chunks.join(F.broadcast(blocks) if many <= BLOCKS_HELD else blocks, "block")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held, x = _units(batch.column(1)[i].values, batch.column(0)[i].values)
+                asked, q = _units(batch.column(3)[i].values, batch.column(2)[i].values)
+                best = _fresh(len(asked))
+                _merge_best(best, np.round(q @ x.T, ROUND), held, k)
+                arrays = [
+                    np.repeat(asked, [len(s) for s, _ in best]),
+                    np.concatenate([j for _, j in best]),
+                    np.concatenate([s for s, _ in best]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["query_id", item, "score"])
+
+    packed = met.select("ids", "flat", "asked", "wanted")
+    return _top_k(packed.mapInArrow(score, f"query_id bigint, {item} bigint, score double"), item, k)
 
 
 # -- texts -----------------------------------------------------------------------------
@@ -193,6 +205,111 @@ def build_text_index(
     return rows.mapInPandas(vectors, f"{item} bigint, buckets array<int>, weights array<double>")
 
 
+# Rounded scores are compared, so bounds leave this much room.
+SLACK = 2.0 * 10**-ROUND
+# Postings a query looks at for its threshold.
+PROBE = 64
+# Part of the threshold that unread terms may make up: the less, the more lists are read, and the fewer texts stay.
+UNREAD = 0.25
+
+
+def impact_postings(index: DataFrame, item: str) -> DataFrame:
+    """``bucket``, ``level``, item, ``w``: one row for each weight, in blocks of falling impact.
+
+    The weights of a block differ by a fifth at most: level n holds those from
+    2^(-n/4) on. A block is a label, never gathered, so a bucket that most texts
+    have is no large group.
+    """
+    rows = index.select(item, F.explode(F.arrays_zip("buckets", "weights")).alias("_p"))
+    flat = rows.select(F.col("_p.buckets").alias("bucket"), item, F.col("_p.weights").alias("w")).filter("w > 0")
+    return flat.withColumn("level", F.ceil(-4 * F.log2("w")).cast("int"))
+
+
+def _bounded_blocks(terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """Every block of every query term: ``bound`` of its share in a score, ``ub`` of the term's."""
+    blocks = terms.join(stats, "bucket").withColumn("bound", F.col("qw") * F.col("top"))
+    best = F.max("bound").over(Window.partitionBy("query_id", "bucket"))
+    return blocks.withColumn("ub", best)
+
+
+def _thresholds(blocks: DataFrame, postings: DataFrame, vectors: DataFrame, index: DataFrame, item: str, k: int) -> DataFrame:
+    """``query_id``, ``theta``: a score that k texts reach at least.
+
+    The texts of each query's strongest blocks are ranked by what they get from
+    those, and the first few scored in full.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "bucket", "level")
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    probe = blocks.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < PROBE * k)
+    part = probe.join(postings, ["bucket", "level"]).groupBy("query_id", item).agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
+    by_part = Window.partitionBy("query_id").orderBy(F.desc("s"), item)
+    first = part.withColumn("_r", F.row_number().over(by_part)).filter(F.col("_r") <= 8 * k)
+    scored = _full_scores(first, vectors, index, item)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    return scored.withColumn("_r", rank).filter(F.col("_r") == k).select("query_id", F.col("score").alias("theta"))
+
+
+def _promising(blocks: DataFrame, thresholds: DataFrame, postings: DataFrame, item: str) -> DataFrame:
+    """``query_id``, item: a superset of all texts that reach their query's threshold.
+
+    Terms whose bounds together stay below a part of the threshold are not read
+    at all; of the others only blocks are read that can reach it along with the
+    bounds of all other terms. A text's sum over those, plus the bounds of the
+    terms left out, decides whether it stays.
+    """
+    limit = F.coalesce("theta", F.lit(0.0)) - SLACK
+    terms = blocks.select("query_id", "bucket", "ub").distinct()
+    by_bound = Window.partitionBy("query_id").orderBy("ub", "bucket")
+    judged = (
+        terms.withColumn("_up", F.sum("ub").over(by_bound.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_all", F.sum("ub").over(Window.partitionBy("query_id")))
+        .join(thresholds, "query_id", "left")
+        .withColumn("_limit", limit)
+        .withColumn("_carries", F.col("_up") >= UNREAD * F.col("_limit"))
+    )
+    rest = F.sum(F.when(~F.col("_carries"), F.col("ub")).otherwise(0.0)).over(Window.partitionBy("query_id"))
+    judged = judged.withColumn("_rest", rest).filter("_carries").drop("ub")
+    read = blocks.join(judged, ["query_id", "bucket"]).filter(F.col("bound") + F.col("_all") - F.col("ub") >= F.col("_limit"))
+    sums = read.join(postings, ["bucket", "level"]).groupBy("query_id", item).agg(
+        F.sum(F.col("qw") * F.col("w")).alias("_s"), F.first("_rest").alias("_rest"), F.first("_limit").alias("_limit")
+    )
+    return sums.filter(F.col("_s") + F.col("_rest") >= F.col("_limit")).select("query_id", item)
+
+
+def _full_scores(pairs: DataFrame, vectors: DataFrame, index: DataFrame, item: str) -> DataFrame:
+    """``query_id``, item, ``score`` of pairs, from both whole vectors."""
+    asked = vectors.select("query_id", F.col("buckets").alias("_qb"), F.col("weights").alias("_qw"))
+    both = pairs.join(asked, "query_id").join(index, item).select("query_id", item, "_qb", "_qw", "buckets", "weights")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros(batch.num_rows)
+            columns = [batch.column(c) for c in range(2, 6)]
+            for i in range(batch.num_rows):
+                qb, qw, b, w = (c[i].values.to_numpy(zero_copy_only=False) for c in columns)
+                at = np.searchsorted(b, qb)
+                at[at == len(b)] = 0
+                hit = b[at] == qb
+                found[i] = (qw[hit] * w[at[hit]]).sum()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.round(found, ROUND))], ["query_id", item, "score"]
+            )
+
+    return both.mapInArrow(score, f"query_id bigint, {item} bigint, score double")
+
+
+def _filled(ranked: DataFrame, queries: DataFrame, index: DataFrame, item: str, k: int) -> DataFrame:
+    """Queries with fewer than k texts get the smallest other items, with score 0."""
+    counts = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    few = queries.join(counts, "query_id", "left").select("query_id", F.coalesce("_n", F.lit(0)).alias("_n"))
+    first = index.select(item).orderBy(item).limit(2 * k)
+    pairs = few.filter(F.col("_n") < k).join(F.broadcast(first))
+    other = pairs.join(ranked.select("query_id", item), ["query_id", item], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(item))
+    extra = other.withColumn("rank", (F.col("_n") + rank).cast("int")).filter(F.col("rank") <= k)
+    return ranked.unionByName(extra.select("query_id", item, "rank", F.lit(0.0).alias("score")))
+
+
 def search_index(
     index: DataFrame,
     queries: DataFrame,
@@ -202,50 +319,26 @@ def search_index(
     query_id: str = "query_id",
     text: str = "text",
 ) -> DataFrame:
-    """The k most similar indexed texts of every query text."""
-    k = max(1, k)
-    prepared = queries.select(
-        F.col(query_id).cast("bigint").alias(query_id), term_buckets(F.col(text)).alias("_b")
-    )
-    schema = f"query_id bigint, {item} bigint, score double"
-    parts = []
-    for batch in _query_passes(prepared, query_id, ["_b"]):
-        vectors = [_weights(r["_b"], idf) for r in batch]
-        # Only buckets that some query uses can add to a score.
-        used = np.unique(np.concatenate([v[0] for v in vectors]))
-        column = np.full(HASH_SPACE, -1, dtype=np.int32)
-        column[used] = np.arange(used.size)
-        matrix = np.zeros((len(batch), used.size))
-        for row, (at, w) in enumerate(vectors):
-            matrix[row, column[at]] = w
-        ids = [int(r[query_id]) for r in batch]
-        parts.append(index.mapInPandas(_sparse_scorer(matrix, column, ids, item, k), schema))
-    if not parts:
-        return index.sparkSession.createDataFrame(
-            [], f"query_id bigint, {item} bigint, rank int, score double"
-        )
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
-    return _top_k(partial, item, k)
-
+    """The k most similar indexed texts of every query text: query_id, item, rank, score.
 
-def _sparse_scorer(matrix: np.ndarray, column: np.ndarray, ids: list[int], item: str, k: int):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _fresh(len(ids))
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            scores = np.zeros((len(ids), len(pdf)))
-            for j, (buckets, weights) in enumerate(zip(pdf["buckets"], pdf["weights"])):
-                at = column[np.asarray(buckets, dtype=np.int64)]
-                hit = at >= 0
-                if hit.any():
-                    scores[:, j] = matrix[:, at[hit]] @ np.asarray(weights)[hit]
-            _merge_best(best, np.round(scores, ROUND), pdf[item].to_numpy(), k)
-        yield _emit(best, ids, item)
-
-    return score
+    Exact: scores are those of whole vectors, ties go to the smaller item, and a
+    query that shares no word with k texts gets the smallest items, at 0. Query
+    ids and items must not repeat.
+    """
+    k = max(1, k)
+    held = cut_lineage(index)
+    named = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(text).alias("text"))
+    vectors = cut_lineage(build_text_index(named, "query_id", "text", idf))
+    postings = cut_lineage(impact_postings(held, item))
+    # At most 65,536 buckets, each with a few dozen levels.
+    stats = postings.groupBy("bucket", "level").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("n"))
+    terms = vectors.select("query_id", F.explode(F.arrays_zip("buckets", "weights")).alias("_t"))
+    terms = terms.select("query_id", F.col("_t.buckets").alias("bucket"), F.col("_t.weights").alias("qw")).filter("qw > 0")
+    blocks = cut_lineage(_bounded_blocks(terms, stats))
+    thresholds = cut_lineage(_thresholds(blocks, postings, vectors, held, item, k))
+    pairs = _promising(blocks, thresholds, postings, item)
+    ranked = cut_lineage(_top_k(_full_scores(pairs, vectors, held, item), item, k))
+    return _filled(ranked, vectors.select("query_id"), held, item, k)
 
 
 def retrieve(
