@@ -8,7 +8,8 @@ from govlattice.functions.scale import dense_position
 from govlattice.operators import audit as A
 from govlattice.operators import lifecycle as L
 from govlattice.operators import merkle as M
-from govlattice.session import table
+from govlattice.operators import merkle_log as G
+from govlattice.session import cut_lineage, table
 from govlattice.sources import stores
 
 QUERIES: dict = {}
@@ -186,18 +187,18 @@ TREE_SQL = """, tree AS ({leaves}),
         FROM up WHERE n > 1 GROUP BY t, lvl, pos // 2)"""
 
 
-@query(
-    "merkle_roots",
+ROOTS_SQL = (
     "WITH RECURSIVE z AS (SELECT 1)"
     + TREE_SQL.format(
         leaves="SELECT l_suppkey AS t, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS pos, "
         "sha256(l_orderkey || ':' || l_linenumber) AS h, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem"
     )
     + """ SELECT u.t AS l_suppkey, u.h AS root, c.n::BIGINT AS leaves FROM up u
-        JOIN (SELECT t, count(*) AS n FROM tree GROUP BY 1) c USING (t) WHERE u.n = 1""",
+        JOIN (SELECT t, count(*) AS n FROM tree GROUP BY 1) c USING (t) WHERE u.n = 1"""
 )
-def merkle_roots(spark, base):
-    """One tree per supplier over its line items."""
+
+
+def _supplier_leaves(spark, base):
     items = table(spark, base, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
     placed = dense_position(
         items,
@@ -209,7 +210,39 @@ def merkle_roots(spark, base):
         F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")),
         256,
     )
-    return M.merkle_roots(placed.withColumn("hash", leaf), ["l_suppkey"])
+    return placed.select("l_suppkey", "pos", leaf.alias("hash"))
+
+
+@query("merkle_roots", ROOTS_SQL)
+def merkle_roots(spark, base):
+    """One tree per supplier over its line items."""
+    return M.merkle_roots(_supplier_leaves(spark, base), ["l_suppkey"])
+
+
+@query("merkle_log_roots", ROOTS_SQL)
+def merkle_log_roots(spark, base):
+    """The same trees as logs that grow by three appends; each hashes only the new items."""
+    leaves = cut_lineage(_supplier_leaves(spark, base))
+    part = F.when(F.col("pos") < 100, 0).when(F.col("pos") < 100 + F.col("l_suppkey") % 64, 1).otherwise(2)
+    peaks = None
+    for k in range(3):
+        _, peaks = G.append_leaves(peaks, leaves.filter(part == k), ["l_suppkey"])
+    return G.log_roots(peaks, ["l_suppkey"])
+
+
+@query(
+    "merkle_log_proofs",
+    """SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS pos,
+        ceil(log2(count(*) OVER (PARTITION BY l_suppkey)))::BIGINT AS steps, true AS valid FROM lineitem""",
+)
+def merkle_log_proofs(spark, base):
+    """A proof of every line item in a log of two appends, folded and compared with the root of the peaks."""
+    leaves = cut_lineage(_supplier_leaves(spark, base))
+    early = F.col("pos") < 77
+    first, peaks = G.append_leaves(None, leaves.filter(early), ["l_suppkey"])
+    second, peaks = G.append_leaves(peaks, leaves.filter(~early), ["l_suppkey"])
+    proofs = G.log_proofs(first.unionByName(second), peaks, leaves, ["l_suppkey"]).join(leaves, ["l_suppkey", "pos"])
+    return M.verify_proofs(proofs).select("l_suppkey", "pos", F.size("path").cast("bigint").alias("steps"), "valid")
 
 
 CHECKPOINT_SQL = (
