@@ -188,19 +188,25 @@ def cosine_to_own_centroid(spark, base):
 # -- graph ------------------------------------------------------------------------------
 
 
+def _with_range(orders):
+    """One more column, the same in all rows: how far the numbers of orders reach."""
+    return orders.join(F.broadcast(orders.agg((F.max("o_orderkey") + 1).alias("_m"))))
+
+
 def articles(spark, base):
     """Orders as articles that mention two other orders (which may not exist)."""
-    return table(spark, base, "orders").select(
+    orders = _with_range(table(spark, base, "orders"))
+    return orders.select(
         F.concat(F.lit("Art. "), F.col("o_orderkey").cast("string"), F.lit("º")).alias("article"),
         F.col("o_orderpriority").alias("tema"),
         F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("source"),
         F.expr(
-            "concat('veja o Art. ', o_custkey * 3 + 1, 'º e o art ', (o_orderkey * 7) % 20000, ' desta lei')"
+            "concat('veja o Art. ', o_custkey * 3 + 1, 'º e o art ', (o_orderkey * 7) % _m, ' desta lei')"
         ).alias("text"),
     )
 
 
-GRAPH_SQL = """WITH RECURSIVE m AS (SELECT o_orderkey AS a, o_custkey * 3 + 1 AS b FROM orders UNION ALL SELECT o_orderkey, (o_orderkey * 7) % 20000 FROM orders),
+GRAPH_SQL = """WITH RECURSIVE m AS (SELECT o_orderkey AS a, o_custkey * 3 + 1 AS b FROM orders UNION ALL SELECT o_orderkey, (o_orderkey * 7) % (SELECT max(o_orderkey) + 1 FROM orders) FROM orders),
     e AS (SELECT DISTINCT 'art_' || a AS src, 'art_' || b AS dst FROM m WHERE a <> b AND b IN (SELECT o_orderkey FROM orders)),
     u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"""
 
@@ -251,7 +257,7 @@ def affected_articles(spark, base):
     GRAPH_SQL
     + """, w AS (SELECT src, src AS at, [src] AS path FROM (SELECT DISTINCT src FROM e) UNION ALL
           SELECT w.src, e.dst, list_append(w.path, e.dst) FROM w JOIN e ON w.at = e.src WHERE len(w.path) <= 4),
-        t AS (SELECT 'art_' || o_orderkey AS src, 'art_' || ((o_orderkey * 49) % 20000) AS dst FROM orders),
+        t AS (SELECT 'art_' || o_orderkey AS src, 'art_' || ((o_orderkey * 49) % (SELECT max(o_orderkey) + 1 FROM orders)) AS dst FROM orders),
         r AS (SELECT t.src, t.dst, path, row_number() OVER (PARTITION BY t.src, t.dst ORDER BY len(path), path) AS rn
           FROM t JOIN w ON w.src = t.src AND w.at = t.dst)
         SELECT src, dst, array_to_string(path, '>') AS path, (len(path) - 1)::INT AS hops FROM r WHERE rn = 1""",
@@ -261,9 +267,9 @@ def shortest_article_paths(spark, base):
     corpus = articles(spark, base)
     edges = cut_lineage(G.mention_edges(corpus))
     # Articles without mentions start no path.
-    pairs = table(spark, base, "orders").select(
+    pairs = _with_range(table(spark, base, "orders")).select(
         F.expr("concat('art_', o_orderkey)").alias("src"),
-        F.expr("concat('art_', (o_orderkey * 49) % 20000)").alias("dst"),
+        F.expr("concat('art_', (o_orderkey * 49) % _m)").alias("dst"),
     ).join(edges.select("src").distinct(), "src", "left_semi")
     out = G.shortest_paths(edges, pairs, max_hops=4)
     return out.select("src", "dst", F.array_join("path", ">").alias("path"), "hops")
@@ -271,9 +277,7 @@ def shortest_article_paths(spark, base):
 
 def _wide_articles(spark, base):
     """Orders as articles that mention two other orders, spread over all of them."""
-    orders = table(spark, base, "orders")
-    # One row.
-    orders = orders.join(F.broadcast(orders.agg((F.max("o_orderkey") + 1).alias("_m"))))
+    orders = _with_range(table(spark, base, "orders"))
     number = F.col("o_orderkey").cast("string")
     return orders.select(
         F.concat(F.lit("Art. "), number, F.lit("º")).alias("article"),
