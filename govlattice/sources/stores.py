@@ -1,13 +1,19 @@
 """Stored tables: audit log, checkpoints, manifests, reports, rule files, status files.
 
 Everything is append-only or a dated snapshot; readers pick what they need by
-filter, so partition pruning and predicate push-down apply.
+filter, so partition pruning and predicate push-down apply. Appends that carry
+the name of their batch count once: rows are written to a folder of their own
+and become part of the table by a small commit file, made in one step. What a
+failed write leaves is never read, and a batch that is written again changes
+nothing.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +27,50 @@ STATUS_SCHEMA = (
 )
 
 
+# -- appends that count once -------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def append_once(rows: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Add rows to the table at ``path`` unless ``batch`` is already part of it; whether they were added.
+
+    Without a batch name every call adds. Of two writers of one batch at a time
+    the first to commit counts.
+    """
+    spark = rows.sparkSession
+    name = quote(batch if batch is not None else uuid.uuid4().hex, safe="")
+    fs, commit = _folder(spark, f"{path}/commits/{name}")
+    if fs.exists(commit):
+        return False
+    part = uuid.uuid4().hex
+    rows.write.parquet(f"{path}/rows/{part}")
+    try:
+        out = fs.create(commit, False)  # fails if it is there by now
+    except Exception:
+        if fs.exists(commit):
+            return False
+        raise
+    out.write(bytearray(part, "ascii"))
+    out.close()
+    return True
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows of committed batches; None when there is none yet."""
+    fs, commits = _folder(spark, f"{path}/commits")
+    if not fs.exists(commits):
+        return None
+    # One short line for each append. A commit whose writer died before the name was in it is empty, and no part.
+    parts = [r["value"] for r in spark.read.text(f"{path}/commits").distinct().collect() if r["value"]]
+    if not parts:
+        return None
+    return spark.read.option("mergeSchema", "true").parquet(*[f"{path}/rows/{p}" for p in sorted(parts)])
+
+
 # -- audit log ------------------------------------------------------------------------
 
 
@@ -49,12 +99,13 @@ def append_audit_log(sealed: DataFrame, path: str) -> None:
 # -- checkpoints -----------------------------------------------------------------------
 
 
-def append_checkpoints(checkpoints: DataFrame, path: str) -> None:
-    checkpoints.write.mode("append").parquet(path)
+def append_checkpoints(checkpoints: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Store the checkpoints of one run (see :func:`append_once`)."""
+    return append_once(checkpoints, path, batch)
 
 
-def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame | None:
+    return read_committed(spark, path)
 
 
 def covered_ranges(checkpoints: DataFrame, chain: str) -> DataFrame:
@@ -116,8 +167,13 @@ def summarize_diff(diff: DataFrame) -> DataFrame:
 # -- reports -------------------------------------------------------------------------------
 
 
-def append_reports(reports: DataFrame, path: str, report_id: Column) -> None:
-    reports.withColumn("report_id", report_id).write.mode("append").parquet(path)
+def append_reports(reports: DataFrame, path: str, report_id: Column, batch: str | None = None) -> bool:
+    """Store reports under their ids (see :func:`append_once`)."""
+    return append_once(reports.withColumn("report_id", report_id), path, batch)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame | None:
+    return read_committed(spark, path)
 
 
 def report_summaries(reports: DataFrame) -> DataFrame:
