@@ -373,6 +373,16 @@ def federation_compliance(spark, base):
     return federation.federation_compliance(node_compliance(spark, base))
 
 
+@query(
+    "non_compliant_nodes",
+    """SELECT user_id AS node, round(count(*) FILTER (WHERE event_type <> 'error') / count(*), 4)::DOUBLE AS compliance_rate,
+         count(*) FILTER (WHERE event_type = 'error')::BIGINT AS checks_failed
+       FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type <> 'error') / count(*) < 0.9""",
+)
+def non_compliant_nodes(spark, base):
+    return federation.non_compliant_nodes(node_compliance(spark, base))
+
+
 def _calls(spark, base):
     return table(spark, base, "events").select(
         F.col("event_type").alias("module"),

@@ -79,6 +79,17 @@ def federation_compliance(nodes: DataFrame) -> DataFrame:
     )
 
 
+def non_compliant_nodes(nodes: DataFrame, node: str = "node") -> DataFrame:
+    """The nodes below the threshold, a row each, with how many checks they lack for it.
+
+    Rows, not a list in one row: a federation may have any number of them.
+    """
+    failed = F.col("checks_total") - F.col("checks_healthy")
+    return nodes.filter(~F.col("compliant")).select(
+        node, "compliance_rate", failed.cast("bigint").alias("checks_failed")
+    )
+
+
 def call_snapshot(
     calls: DataFrame, module: str = "module", duration: str = "duration_ms",
     status: str = "status",
