@@ -290,7 +290,7 @@ def test_graph(spark):
     assert out == {("art_38", "art_9"): ["art_38", "art_20", "art_9"], ("art_38", "art_38"): ["art_38"]}
 
 
-def test_retrieval_passes(spark, monkeypatch):
+def test_retrieval_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x, q = rng.normal(size=(300, 8)), rng.normal(size=(7, 8))
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(5)
@@ -298,7 +298,7 @@ def test_retrieval_passes(spark, monkeypatch):
     sims = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
     want = {(i, r + 1): int(j) for i in range(7) for r, j in enumerate(np.argsort(-sims[i])[:4])}
     for size in (512, 3):
-        monkeypatch.setattr(retrieval, "QUERIES_PER_PASS", size)
+        monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", size)
         got = {(r.query_id, r["rank"]): r.vec_id for r in retrieval.nearest_vectors(corpus, queries, 4).collect()}
         assert got == want
 
