@@ -1,8 +1,10 @@
 """Scores of texts under a log-bilinear language model trained by noise-contrastive estimation.
 
-Words are counted exactly over all training texts. The model's classes are a
-fixed number of frequent words, the end of a text, and buckets of all other
-words by their last letters. Its energy for class w after class h is bilinear,
+Words are counted exactly over all training texts. The model has two levels.
+Above are classes: frequent words, the end of a text, and buckets of all other
+words by their last letters. Below, each other word that is seen at least
+``Settings.least`` times has a vector of its own, so that the model grows with
+the corpus. The energy for class w after class h is bilinear,
 
     s(w | h) = r(h) . q(w) + b(w),
 
@@ -10,8 +12,15 @@ with learned vectors r and q. Training tells the observed pairs of classes from
 pairs drawn from the noise (class frequencies): pair counts over all training
 texts are a table of bounded size, so the expected noise-contrastive objective
 is computed on them exactly, as matrix products. Normalised log-probabilities
-of all pairs come from one matrix product. A word of a bucket is then drawn
-from the bucket by its smoothed frequency, so the whole is a distribution.
+of all pairs come from one matrix product.
+
+A word w of a bucket has after h the weight (count + 1) exp(r(h) . q(w)), with
+the learned contexts r of above (their main directions and a constant) and a
+vector q(w) that tells its pairs from pairs drawn by frequency in its bucket. The
+contexts being given, each word's objective stands for itself and is concave, so
+words are spread over tasks, each a batch of matrix products. Words seen less
+often, and all unseen ones together as a word of count 0, have no vector. Weights
+are summed by bucket and context over all words, so the whole is a distribution.
 """
 
 from __future__ import annotations
@@ -27,20 +36,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlattice.llm.common import slices, utf8_parts
+from govlattice.llm.common import list_of, slices, utf8_parts
 from govlattice.session import bounded_rows, cut_lineage
 
 # The end of a text; not a word, since it holds a blank.
 END = b" end"
 # Distinct words a task counts before it passes them on.
 HELD_WORDS = 500_000
+# Pairs of a context and a word that a task gathers before it counts them.
+HELD_PAIRS = 4_000_000
+# Words whose vectors are learned together.
+WORD_BATCH = 256
 
 
 @dataclass(frozen=True)
 class Settings:
     words: int = 767  # frequent words that are classes of their own
     buckets: int = 256  # classes of all other words
-    known_words: int = 200_000  # words whose counts every task holds; the others are joined
+    known_words: int = 200_000  # words whose counts and vectors every task holds; the others are joined
+    least: int = 16  # words outside the classes have vectors from this count on
+    inner_width: int = 8  # directions of the contexts that these vectors see
+    inner_steps: int = 5
+    shrink: float = 2.0  # strength of the penalty on these vectors
     width: int = 48
     noise: int = 10  # noise pairs for each observed one
     steps: int = 200
@@ -132,27 +149,183 @@ class Vocabulary:
         return classes, places, others
 
 
-def count_pairs(rows: DataFrame, vocabulary, settings: Settings) -> DataFrame:
-    """``pair`` (context * classes + class) and ``c`` over all texts; the context of a first word is the end."""
+PAIR_SCHEMA = "pair bigint, c bigint, word binary, contexts array<int>, counts array<bigint>"
+
+
+def count_pairs(rows: DataFrame, vocabulary, settings: Settings, far: bool) -> DataFrame:
+    """Pairs of a context and what follows; the context of a first word is the end.
+
+    Rows with ``pair`` (context * classes + class) hold a part of its count
+    ``c``. Rows with ``word``, a word outside the classes, hold a part of its
+    counts by context; words that tasks do not hold only if ``far``.
+    """
     size = settings.classes
+    names = ["pair", "c", "word", "contexts", "counts"]
 
     def work(batches):
-        held = np.zeros(size * size, np.int64)
-        known = Vocabulary(*vocabulary.value, settings)
+        cells = np.zeros(size * size, np.int64)
+        words, of_words = vocabulary.value
+        known = Vocabulary(words, of_words, settings)
+        others: dict[bytes, int] = {}
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def emit() -> pa.RecordBatch:
+            key, count = np.unique(np.concatenate(held), return_counts=True)
+            place, context = np.divmod(key, size)
+            starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            more = list(others)
+            of_row = [words[i] if i < len(words) else more[i - len(words)] for i in place[starts].tolist()]
+            lengths = np.diff(np.r_[starts, len(key)])
+            none = pa.nulls(len(starts), pa.int64())
+            lists = [list_of(context.astype(np.int32), lengths, pa.int32()), list_of(count, lengths, pa.int64())]
+            held.clear()
+            others.clear()
+            return pa.RecordBatch.from_arrays([none, none, pa.array(of_row, pa.binary()), *lists], names)
+
         for batch in slices(batches, "_text"):
             for text in utf8_parts(batch.column(0)):
-                classes = known.encode(text)[0].astype(np.int64)
+                classes, places, unheld = known.encode(text)
+                classes = classes.astype(np.int64)
                 context = np.r_[settings.words, classes[:-1]]
                 pair, count = np.unique(context * size + classes, return_counts=True)
-                held[pair] += count
-        pair = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(held[pair])], ["pair", "c"])
+                cells[pair] += count
+                if far and unheld:
+                    places[places < 0] = [len(words) + others.setdefault(w, len(others)) for w in unheld]
+                own = np.flatnonzero((classes[:-1] > settings.words) & (places >= 0))
+                if len(own):
+                    held.append(places[own] * size + context[own])
+                    waiting += len(own)
+                if waiting > HELD_PAIRS or len(others) > HELD_WORDS:
+                    yield emit()
+                    waiting = 0
+        if held:
+            yield emit()
+        pair = np.flatnonzero(cells)
+        none = [pa.nulls(len(pair), t) for t in (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(cells[pair]), *none], names)
+
+    return rows.select("_text").mapInArrow(work, PAIR_SCHEMA)
+
+
+def inner_contexts(r: np.ndarray, pairs: np.ndarray, settings: Settings) -> np.ndarray:
+    """What vectors of words see of each context: main directions of ``r``, of unit variance, and a constant."""
+    share = pairs.sum(axis=1) + 1e-9
+    share = share / share.sum()
+    centred = r - share @ r
+    _, size, directions = np.linalg.svd(centred * np.sqrt(share)[:, None], full_matrices=False)
+    width = min(settings.inner_width, len(size))
+    seen = centred @ directions[:width].T / np.maximum(size[:width], 1e-6)
+    return np.c_[np.clip(seen, -6, 6), np.ones(len(r))].astype(np.float32)
+
+
+def word_vectors(counted: np.ndarray, after: np.ndarray, share: np.ndarray, contexts: np.ndarray, settings: Settings) -> np.ndarray:
+    """Vectors of a batch of words, by Newton steps on their noise-contrastive objectives.
 
-    return rows.select("_text").mapInArrow(work, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c"))
+    ``counted`` [word, context] are counts of a word after a context, ``after`` of
+    its bucket after a context, ``share`` [word] is the word's share of its bucket.
+    """
+    width = contexts.shape[1]
+    k = np.float32(settings.noise)
+    drawn = k * share[:, None] * after
+    both = counted + drawn
+    squares = (contexts[:, :, None] * contexts[:, None, :]).reshape(len(contexts), width * width)
+    q = np.zeros((len(counted), width), np.float32)
+    penalty = settings.shrink * np.eye(width)
+    for _ in range(settings.inner_steps):
+        true = 1 / (1 + np.exp(np.clip(np.log(k) - q @ contexts.T, -30, 30)))
+        slope = (counted - both * true) @ contexts - settings.shrink * q
+        curve = ((both * true * (1 - true)) @ squares).reshape(-1, width, width) + penalty
+        step = np.linalg.solve(curve.astype(np.float64), slope[:, :, None].astype(np.float64))[:, :, 0]
+        # Far from the optimum a full step may overshoot.
+        step /= np.maximum(1.0, np.abs(step).max(axis=1, keepdims=True))
+        q = np.clip(q + step, -4, 4).astype(np.float32)
+    return q
+
+
+VECTOR_SCHEMA = "word binary, c bigint, vector array<float>, bucket int, weights array<double>"
+
+
+def train_words(parts: DataFrame, after: np.ndarray, contexts: np.ndarray, settings: Settings) -> DataFrame:
+    """``word``, its count ``c`` and ``vector``, and per bucket parts of the ``weights`` of such words.
+
+    ``weights`` holds their sum for each context and, last, the sum without
+    context. All counts of a word come one after another to one task, which
+    holds a batch of words.
+    """
+    shared = parts.sparkSession.sparkContext.broadcast((after.astype(np.float32), contexts))
+    size, first = settings.classes, settings.words + 1
+    names = ["word", "c", "vector", "bucket", "weights"]
+
+    def work(batches):
+        after, contexts = shared.value
+        # Of all words of a bucket, with one more each as in the weights.
+        totals = after.sum(axis=0) + 1.0
+        sums = np.zeros((settings.buckets, size + 1))
+        words: list[bytes] = []
+        counted = np.zeros((WORD_BATCH, size), np.float32)
+
+        def emit() -> pa.RecordBatch | None:
+            of_word = counted[: len(words)].sum(axis=1, dtype=np.float64)
+            often = np.flatnonzero(of_word >= settings.least)
+            if not len(often):
+                return None
+            bucket = np.array([bucket_of(words[i], settings) - first for i in often])
+            share = (of_word[often] / totals[bucket]).astype(np.float32)
+            q = word_vectors(counted[often], after.T[bucket], share, contexts, settings)
+            weight = (of_word[often] + 1)[:, None]
+            np.add.at(sums, bucket, np.c_[weight * np.exp((q @ contexts.T).astype(np.float64)), weight])
+            c = of_word[often].astype(np.int64)
+            vectors = list_of(q.ravel(), np.full(len(q), q.shape[1]), pa.float32())
+            none = [pa.nulls(len(c), t) for t in (pa.int32(), pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays([pa.array([words[i] for i in often], pa.binary()), pa.array(c), vectors, *none], names)
+
+        for batch in batches:
+            for word, at, n in zip(batch.column(0), batch.column(1), batch.column(2)):
+                word = word.as_py()
+                if not words or words[-1] != word:
+                    if len(words) == WORD_BATCH:
+                        out = emit()
+                        if out is not None:
+                            yield out
+                        words.clear()
+                        counted[:] = 0
+                    words.append(word)
+                counted[len(words) - 1, at.values.to_numpy()] += n.values.to_numpy()
+        out = emit() if words else None
+        if out is not None:
+            yield out
+        used = np.flatnonzero(sums[:, -1])
+        none = [pa.nulls(len(used), t) for t in (pa.binary(), pa.int64(), pa.list_(pa.float32()))]
+        lists = list_of(sums[used].ravel(), np.full(len(used), size + 1), pa.float64())
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), lists], names)
+
+    rows = parts.filter("word is not null").select("word", "contexts", "counts")
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(work, VECTOR_SCHEMA)
+
+
+def weights_of_buckets(trained: DataFrame, settings: Settings) -> np.ndarray:
+    """Summed ``weights`` [bucket, context and total] of words with vectors; settings bound its size."""
+
+    def work(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for bucket, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[bucket] = sums.get(bucket, 0.0) + part.values.to_numpy()
+        if sums:
+            width = settings.classes + 1
+            lists = list_of(np.concatenate(list(sums.values())), np.full(len(sums), width), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), lists], ["bucket", "weights"])
+
+    rows = trained.filter("bucket is not null").select("bucket", "weights").repartition("bucket")
+    out = np.zeros((settings.buckets, settings.classes + 1))
+    for row in bounded_rows(rows.mapInArrow(work, "bucket int, weights array<double>"), settings.buckets, "buckets of words"):
+        out[row["bucket"]] = row["weights"]
+    return out
 
 
-def train(pairs: np.ndarray, settings: Settings) -> np.ndarray:
-    """Natural log-probabilities [context, class] of the log-bilinear model.
+def train(pairs: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log-probabilities [context, class] of the log-bilinear model, and its vectors of contexts.
 
     ``pairs`` are counts of the same shape. Before the first step the model is
     the noise distribution; Adam then follows the gradient of the expected
@@ -179,16 +352,16 @@ def train(pairs: np.ndarray, settings: Settings) -> np.ndarray:
             x += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
     energy = (r @ q.T + b).astype(np.float64)
     top = energy.max(axis=1, keepdims=True)
-    return energy - (top + np.log(np.exp(energy - top).sum(axis=1, keepdims=True)))
+    return energy - (top + np.log(np.exp(energy - top).sum(axis=1, keepdims=True))), r
 
 
 def _score_parts(rows: DataFrame, kind: str, words, model, settings: Settings) -> DataFrame:
-    """Per text: its numbers from what tasks hold, and its other words with their counts."""
+    """Per text: its numbers from what tasks hold, and its other words with their contexts and counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        logs, weights, of_buckets, scale, end_weight, end_known = model.value
+        logs, weights, of_buckets, vectors, contexts, scale, end_weight, end_known = model.value
         vocabulary = Vocabulary(*words.value, settings)
         number = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "_text"):
@@ -197,15 +370,19 @@ def _score_parts(rows: DataFrame, kind: str, words, model, settings: Settings) -
                 classes, places, others = vocabulary.encode(text)
                 held = places[places >= 0]
                 base = weights[held].sum() + end_weight - len(classes) * scale
-                score = logs[np.r_[settings.words, classes[:-1]], classes].sum()
-                score -= of_buckets[classes[classes > settings.words] - settings.words - 1].sum()
-                score += weights[held][vocabulary.classes[held] > settings.words].sum()
-                rest = Counter(others)
+                before = np.r_[settings.words, classes[:-1]]
+                inner = classes > settings.words
+                score = logs[before, classes].sum()
+                score -= of_buckets[classes[inner] - settings.words - 1, before[inner]].sum()
+                own = np.flatnonzero(inner[:-1] & (places >= 0))
+                score += weights[places[own]].sum()
+                score += np.einsum("ij,ij->", vectors[places[own]], contexts[before[own]], dtype=np.float64) / np.log(10)
+                rest = Counter(zip(others, before[:-1][places < 0].tolist()))
                 known = len(held) + end_known
-                far = [{"word": w, "n": n} for w, n in rest.items()]
+                far = [{"word": w, "context": h, "n": n} for (w, h), n in rest.items()]
                 out.append((number, len(classes), known, float(base), float(score), far))
                 number += 1
-            word = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+            word = pa.list_(pa.struct([("word", pa.binary()), ("context", pa.int32()), ("n", pa.int64())]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), word]
             arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
             yield pa.RecordBatch.from_arrays(
@@ -216,10 +393,34 @@ def _score_parts(rows: DataFrame, kind: str, words, model, settings: Settings) -
     return rows.mapInArrow(
         work,
         f"_id {kind}, held_out boolean, _row bigint, n_tokens bigint, _known bigint, _base double, _score double,"
-        " _words array<struct<word: binary, n: bigint>>",
+        " _words array<struct<word: binary, context: int, n: bigint>>",
     )
 
 
+def _score_far(rows: DataFrame, contexts) -> DataFrame:
+    """Per text: how many of its other words are known, the logs of their counts and of their fit to the contexts."""
+
+    def work(batches):
+        table = contexts.value.astype(np.float64)
+        for batch in batches:
+            vector = batch.column(4)
+            fit = np.zeros(batch.num_rows)
+            with_vector = np.flatnonzero(vector.is_valid().to_numpy(zero_copy_only=False))
+            if len(with_vector):
+                q = vector.flatten().to_numpy().reshape(len(with_vector), -1)
+                at = batch.column(1).to_numpy()[with_vector]
+                fit[with_vector] = (q * table[at]).sum(axis=1) / np.log(10)
+            n = batch.column(2).to_numpy()
+            log = n * np.log10(batch.column(3).to_numpy() + 1.0)
+            arrays = [batch.column(0), batch.column(2), pa.array(log), pa.array(n * fit)]
+            yield pa.RecordBatch.from_arrays(arrays, ["_row", "n", "log", "fit"])
+
+    scored = rows.select("_row", "context", "n", "c", "vector").mapInArrow(
+        work, "_row bigint, n bigint, log double, fit double"
+    )
+    return scored.groupBy("_row").agg(F.sum("n").alias("_far"), F.sum("log").alias("_log"), F.sum("fit").alias("_fit"))
+
+
 def score_texts(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", settings: Settings | None = None
 ) -> DataFrame:
@@ -248,11 +449,27 @@ def score_texts(
     words, weights = frequent_words(counts, settings.known_words)
     classes = classes_of(words, settings)
     held = spark.sparkContext.broadcast((words, classes))
+    # Words that tasks do not hold are no more frequent than the last held one.
+    rarest = int(weights[-1]) if len(weights) else settings.least
+    found = cut_lineage(count_pairs(training, held, settings, far=rarest >= settings.least))
     # At most classes x classes cells.
-    cells = count_pairs(training, held, settings).toArrow()
+    cells = found.filter("pair is not null").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     pairs = np.zeros((settings.classes, settings.classes))
     pairs.ravel()[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
-    logs = train(pairs, settings) / np.log(10)
+    logs, r = train(pairs, settings)
+    logs /= np.log(10)
+    contexts = inner_contexts(r, pairs, settings)
+    trained = cut_lineage(train_words(found, pairs[:, settings.words + 1 :], contexts, settings))
+    with_vectors = trained.filter("word is not null").select("word", "c", "vector")
+    # No more words than ``known_words`` have such counts.
+    near = with_vectors.filter(F.col("c") >= rarest).select("word", "vector").toArrow()
+    place = {w: i for i, w in enumerate(words)}
+    vectors = np.zeros((max(1, len(words)), contexts.shape[1]), np.float32)
+    found_places = [place.get(w, -1) for w in near.column(0).to_pylist()]
+    values = near.column(1).combine_chunks()
+    for i, at in enumerate(found_places):
+        if at >= 0:
+            vectors[at] = values[i].values.to_numpy()
 
     tail = F.expr("substring(word, greatest(length(word) - 2, 1), 3)")
     bucket = F.pmod(F.crc32(tail), F.lit(settings.buckets))
@@ -265,16 +482,17 @@ def score_texts(
         of_buckets[r["k"]] += r["t"]
     for i in np.flatnonzero(classes <= settings.words).tolist():
         of_buckets[bucket_of(words[i], settings) - settings.words - 1] -= weights[i] + 1
+    sums = weights_of_buckets(trained, settings)
+    of_pairs = np.log10((of_buckets - sums[:, -1])[:, None] + sums[:, :-1])
     ends = size["ends"]
     scale = float(np.log10(size["n"] + size["v"] + 1))
     model = spark.sparkContext.broadcast(
-        (logs, np.log10(weights + 1.0), np.log10(of_buckets), scale, float(np.log10(ends + 1)), int(ends > 0))
+        (logs, np.log10(weights + 1.0), of_pairs, vectors, contexts, scale, float(np.log10(ends + 1)), int(ends > 0))
     )
     parts = cut_lineage(_score_parts(rows, kind, held, model, settings))
-    far = parts.select("_row", F.explode("_words").alias("_w")).select("_row", "_w.word", "_w.n")
-    more = far.join(counts, "word").groupBy("_row").agg(
-        F.sum("n").alias("_far"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("_log")
-    )
+    far = parts.select("_row", F.explode("_words").alias("_w")).select("_row", "_w.word", "_w.context", "_w.n")
+    joined = far.join(counts, "word").join(with_vectors.select("word", "vector"), "word", "left")
+    more = _score_far(joined, spark.sparkContext.broadcast(contexts))
     zero = F.coalesce("_log", F.lit(0.0))
     return parts.join(more, "_row", "left").select(
         F.col("_id").alias(id_column),
@@ -283,5 +501,5 @@ def score_texts(
         (F.col("_known") + F.coalesce("_far", F.lit(0))).alias("n_known"),
         F.lit(size["n"]).cast("bigint").alias("train_tokens"),
         (F.col("_base") + zero).alias("base_score"),
-        (F.col("_score") + zero).alias("score"),
+        (F.col("_score") + zero + F.coalesce("_fit", F.lit(0.0))).alias("score"),
     )

@@ -130,6 +130,8 @@ def test_conversations_with_odd_rows(spark):
 
 
 SMALL = language_model.Settings(words=30, buckets=16, known_words=60, width=8, steps=150)
+# No word has a vector.
+PLAIN_BUCKETS = language_model.Settings(words=30, buckets=16, known_words=60, width=8, steps=150, least=10**9)
 
 
 def test_scores(spark, odd):
@@ -154,7 +156,7 @@ def test_words_of_a_bucket_share_its_probability(spark):
     unseen = {language_model.bucket_of(w.encode(), SMALL): w for w in (f"z{k}" for k in range(5_000))}
     out = [i for i in range(100_000, 110_000) if plain.zlib.crc32(str(i).encode()) % 7 == 2]
     probes = dict(zip(out, [*seen, *unseen.values(), ""]))
-    got = language_model.score_texts(documents(spark, [*texts, *probes.items()]), settings=SMALL).collect()
+    got = language_model.score_texts(documents(spark, [*texts, *probes.items()]), settings=PLAIN_BUCKETS).collect()
     score = {probes[r["doc_id"]]: r["score"] for r in got if r["doc_id"] in probes}
     # p(word) p(end | class) summed over words is p(not empty) times a mean of p(end | class), so below it.
     assert 0 < sum(10**x for w, x in score.items() if w) < 1 - 10 ** score[""]
@@ -169,13 +171,77 @@ def test_words_of_a_bucket_share_its_probability(spark):
         assert np.allclose([x - np.log10(c) for c, x in shares], shares[0][1] - np.log10(shares[0][0]))
 
 
+def plain_scores(train: list, texts: list, settings) -> dict:
+    """Scores with every sum over words written out, one word and context at a time."""
+    lm, first = language_model, settings.words + 1
+    split = lambda t: [w.lower().encode() for w in t.split()]
+    count = Counter(w for t in train for w in split(t))
+    ranked = sorted(count, key=lambda w: (-count[w], w))
+    of = {w: i if i < settings.words else lm.bucket_of(w, settings) for i, w in enumerate(ranked)}
+    class_of = lambda w: of.get(w, lm.bucket_of(w, settings))
+    pairs, by_word = np.zeros((settings.classes, settings.classes)), {}
+    for t in train:
+        before = settings.words
+        for w in split(t):
+            pairs[before, class_of(w)] += 1
+            by_word.setdefault(w, np.zeros(settings.classes))[before] += 1
+            before = class_of(w)
+        pairs[before, settings.words] += 1
+    logs, r = lm.train(pairs, settings)
+    contexts = lm.inner_contexts(r, pairs, settings)
+    fit = {}
+    for w in ranked[settings.words :]:
+        after = pairs[:, class_of(w)]
+        if count[w] >= settings.least:
+            share = np.array([count[w] / (after.sum() + 1)], np.float32)
+            q = lm.word_vectors(by_word[w][None].astype(np.float32), after[None].astype(np.float32), share, contexts, settings)
+            fit[w] = (q @ contexts.T)[0].astype(float)
+    inner = ranked[settings.words :]
+    out = {}
+    for t in texts:
+        before, score = settings.words, 0.0
+        for w in split(t):
+            k = class_of(w)
+            score += logs[before, k]
+            if k >= first:
+                weigh = lambda v: (count[v] + 1) * np.exp(fit[v][before] if v in fit else 0.0)  # noqa: E731, B023
+                everything = 1 + sum(weigh(v) for v in inner if class_of(v) == k)
+                score += np.log((weigh(w) if w in count else 1) / everything)
+            before = k
+        out[t] = (score + logs[before, settings.words]) / np.log(10)
+    return out
+
+
+@pytest.mark.parametrize("known_words", [500, 60, 35])
+def test_scores_equal_plain_sums(spark, known_words):
+    """All words held by tasks, some and hardly any: the vectors of words decide, and sums are the plain ones."""
+    rng = np.random.default_rng(4)
+    words = [f"{'ab'[i % 2]}{i}" for i in range(120)]
+    texts = []
+    for i in range(300):
+        # Words of one parity follow each other, so contexts tell words of a bucket apart.
+        mine = words[i % 2 :: 2]
+        texts.append((i, " ".join(rng.choice(mine, rng.integers(0, 40), p=np.arange(60, 0, -1) / 1830))))
+    texts += [(1_000, "a0 never b1 seen"), (1_001, "")]
+    learn = [t for i, t in texts if plain.zlib.crc32(str(i).encode()) % 7 != 2]
+    settings = language_model.Settings(words=30, buckets=5, known_words=known_words, width=8, steps=60, least=6, inner_width=4)
+    got = language_model.score_texts(documents(spark, texts), settings=settings).collect()
+    wanted = plain_scores(learn, [t for _, t in texts], settings)
+    for r in got:
+        assert r["score"] == pytest.approx(wanted[dict(texts)[r["doc_id"]]], rel=1e-4, abs=1e-3)
+    flat = language_model.Settings(words=30, buckets=5, known_words=known_words, width=8, steps=60, least=10**9)
+    without = language_model.score_texts(documents(spark, texts), settings=flat).collect()
+    held = lambda rows: sum(r["score"] for r in rows if r["held_out"])
+    assert held(got) > held(without) + 10
+
+
 def test_training_normalises_and_learns():
     rng = np.random.default_rng(0)
     size = SMALL.classes
     pairs = np.zeros((size, size))
     for h in range(size):
         pairs[h, (h * 7 + np.arange(3)) % size] = rng.integers(50, 100, 3)
-    logs = language_model.train(pairs, SMALL)
+    logs, _ = language_model.train(pairs, SMALL)
     assert np.allclose(np.exp(logs).sum(axis=1), 1)
     plain_log = np.log(pairs.sum(axis=0) / pairs.sum())
     assert (pairs * logs).sum() > (pairs * plain_log[None, :]).sum() + 0.5 * pairs.sum()
