@@ -33,6 +33,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -229,14 +230,17 @@ def word_vectors(counted: np.ndarray, after: np.ndarray, share: np.ndarray, cont
     k = np.float32(settings.noise)
     drawn = k * share[:, None] * after
     both = counted + drawn
-    squares = (contexts[:, :, None] * contexts[:, None, :]).reshape(len(contexts), width * width)
+    upper = np.triu_indices(width)
+    squares = np.ascontiguousarray(contexts[:, upper[0]] * contexts[:, upper[1]])
+    curve = np.zeros((len(counted), width, width))
     q = np.zeros((len(counted), width), np.float32)
     penalty = settings.shrink * np.eye(width)
     for _ in range(settings.inner_steps):
         true = 1 / (1 + np.exp(np.clip(np.log(k) - q @ contexts.T, -30, 30)))
         slope = (counted - both * true) @ contexts - settings.shrink * q
-        curve = ((both * true * (1 - true)) @ squares).reshape(-1, width, width) + penalty
-        step = np.linalg.solve(curve.astype(np.float64), slope[:, :, None].astype(np.float64))[:, :, 0]
+        # Symmetric: both halves are set from one.
+        curve[:, upper[0], upper[1]] = curve[:, upper[1], upper[0]] = (both * (true - true * true)) @ squares
+        step = np.linalg.solve(curve + penalty, slope[:, :, None].astype(np.float64))[:, :, 0]
         # Far from the optimum a full step may overshoot.
         step /= np.maximum(1.0, np.abs(step).max(axis=1, keepdims=True))
         q = np.clip(q + step, -4, 4).astype(np.float32)
@@ -262,39 +266,47 @@ def train_words(parts: DataFrame, after: np.ndarray, contexts: np.ndarray, setti
         # Of all words of a bucket, with one more each as in the weights.
         totals = after.sum(axis=0) + 1.0
         sums = np.zeros((settings.buckets, size + 1))
-        words: list[bytes] = []
-        counted = np.zeros((WORD_BATCH, size), np.float32)
-
-        def emit() -> pa.RecordBatch | None:
-            of_word = counted[: len(words)].sum(axis=1, dtype=np.float64)
-            often = np.flatnonzero(of_word >= settings.least)
-            if not len(often):
-                return None
-            bucket = np.array([bucket_of(words[i], settings) - first for i in often])
-            share = (of_word[often] / totals[bucket]).astype(np.float32)
-            q = word_vectors(counted[often], after.T[bucket], share, contexts, settings)
-            weight = (of_word[often] + 1)[:, None]
+
+        def learn(words: list[bytes], counted: np.ndarray) -> pa.RecordBatch:
+            of_word = counted.sum(axis=1)
+            bucket = np.array([bucket_of(w, settings) - first for w in words])
+            share = (of_word / totals[bucket]).astype(np.float32)
+            q = word_vectors(counted.astype(np.float32), after.T[bucket], share, contexts, settings)
+            weight = (of_word + 1)[:, None]
             np.add.at(sums, bucket, np.c_[weight * np.exp((q @ contexts.T).astype(np.float64)), weight])
-            c = of_word[often].astype(np.int64)
             vectors = list_of(q.ravel(), np.full(len(q), q.shape[1]), pa.float32())
-            none = [pa.nulls(len(c), t) for t in (pa.int32(), pa.list_(pa.float64()))]
-            return pa.RecordBatch.from_arrays([pa.array([words[i] for i in often], pa.binary()), pa.array(c), vectors, *none], names)
+            none = [pa.nulls(len(q), t) for t in (pa.int32(), pa.list_(pa.float64()))]
+            c = pa.array(of_word.astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), c, vectors, *none], names)
 
+        # The last word of a batch may go on in the next one; its counts by context wait.
+        waiting, of_waiting = None, np.zeros(size)
         for batch in batches:
-            for word, at, n in zip(batch.column(0), batch.column(1), batch.column(2)):
-                word = word.as_py()
-                if not words or words[-1] != word:
-                    if len(words) == WORD_BATCH:
-                        out = emit()
-                        if out is not None:
-                            yield out
-                        words.clear()
-                        counted[:] = 0
-                    words.append(word)
-                counted[len(words) - 1, at.values.to_numpy()] += n.values.to_numpy()
-        out = emit() if words else None
-        if out is not None:
-            yield out
+            if not batch.num_rows:
+                continue
+            encoded = batch.column(0).dictionary_encode()
+            words = encoded.dictionary
+            lengths = pc.list_value_length(batch.column(1)).to_numpy()
+            at = np.repeat(encoded.indices.to_numpy(), lengths)
+            context, n = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            extra = int(waiting is not None and waiting != words[0].as_py())
+            earlier = np.flatnonzero(of_waiting)
+            at = np.r_[np.zeros(len(earlier), np.int64), at + extra]
+            context, n = np.r_[earlier, context], np.r_[of_waiting[earlier], n]
+            last = len(words) - 1 + extra
+            often = np.flatnonzero(np.bincount(at, weights=n, minlength=last + 1)[:last] >= settings.least)
+            for start in range(0, len(often), WORD_BATCH):
+                part = often[start : start + WORD_BATCH]
+                row = np.full(last + 1, -1)
+                row[part] = np.arange(len(part))
+                here = row[at] >= 0
+                cell = row[at[here]] * size + context[here]
+                counted = np.bincount(cell, weights=n[here], minlength=len(part) * size).reshape(-1, size)
+                yield learn([waiting if i < extra else words[int(i) - extra].as_py() for i in part], counted)
+            waiting, ends = words[len(words) - 1].as_py(), at == last
+            of_waiting = np.bincount(context[ends], weights=n[ends], minlength=size)
+        if of_waiting.sum() >= max(1, settings.least):
+            yield learn([waiting], of_waiting[None])
         used = np.flatnonzero(sums[:, -1])
         none = [pa.nulls(len(used), t) for t in (pa.binary(), pa.int64(), pa.list_(pa.float32()))]
         lists = list_of(sums[used].ravel(), np.full(len(used), size + 1), pa.float64())
@@ -356,7 +368,7 @@ def train(pairs: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray
 
 
 def _score_parts(rows: DataFrame, kind: str, words, model, settings: Settings) -> DataFrame:
-    """Per text: its numbers from what tasks hold, and its other words with their contexts and counts."""
+    """Per text: its numbers from what tasks hold, and its other words with their contexts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -365,7 +377,7 @@ def _score_parts(rows: DataFrame, kind: str, words, model, settings: Settings) -
         vocabulary = Vocabulary(*words.value, settings)
         number = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "_text"):
-            out = []
+            out, far, far_context = [], [], []
             for text in utf8_parts(batch.column(2)):
                 classes, places, others = vocabulary.encode(text)
                 held = places[places >= 0]
@@ -377,23 +389,25 @@ def _score_parts(rows: DataFrame, kind: str, words, model, settings: Settings) -
                 own = np.flatnonzero(inner[:-1] & (places >= 0))
                 score += weights[places[own]].sum()
                 score += np.einsum("ij,ij->", vectors[places[own]], contexts[before[own]], dtype=np.float64) / np.log(10)
-                rest = Counter(zip(others, before[:-1][places < 0].tolist()))
+                far.extend(others)
+                far_context.append(before[:-1][places < 0])
                 known = len(held) + end_known
-                far = [{"word": w, "context": h, "n": n} for (w, h), n in rest.items()]
-                out.append((number, len(classes), known, float(base), float(score), far))
+                out.append((number, len(classes), known, float(base), float(score)))
                 number += 1
-            word = pa.list_(pa.struct([("word", pa.binary()), ("context", pa.int32()), ("n", pa.int64())]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), word]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+            offsets = np.cumsum([0, *map(len, far_context)])
+            pairs = [pa.array(far, pa.binary()), pa.array(np.concatenate(far_context).astype(np.int32))]
+            words_of = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(pairs, ["word", "context"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *arrays],
+                [batch.column(0), batch.column(1), *arrays, words_of],
                 ["_id", "held_out", "_row", "n_tokens", "_known", "_base", "_score", "_words"],
             )
 
     return rows.mapInArrow(
         work,
         f"_id {kind}, held_out boolean, _row bigint, n_tokens bigint, _known bigint, _base double, _score double,"
-        " _words array<struct<word: binary, context: int, n: bigint>>",
+        " _words array<struct<word: binary, context: int>>",
     )
 
 
@@ -403,22 +417,18 @@ def _score_far(rows: DataFrame, contexts) -> DataFrame:
     def work(batches):
         table = contexts.value.astype(np.float64)
         for batch in batches:
-            vector = batch.column(4)
+            vector = batch.column(3)
             fit = np.zeros(batch.num_rows)
             with_vector = np.flatnonzero(vector.is_valid().to_numpy(zero_copy_only=False))
             if len(with_vector):
                 q = vector.flatten().to_numpy().reshape(len(with_vector), -1)
                 at = batch.column(1).to_numpy()[with_vector]
                 fit[with_vector] = (q * table[at]).sum(axis=1) / np.log(10)
-            n = batch.column(2).to_numpy()
-            log = n * np.log10(batch.column(3).to_numpy() + 1.0)
-            arrays = [batch.column(0), batch.column(2), pa.array(log), pa.array(n * fit)]
-            yield pa.RecordBatch.from_arrays(arrays, ["_row", "n", "log", "fit"])
+            log = np.log10(batch.column(2).to_numpy() + 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log), pa.array(fit)], ["_row", "log", "fit"])
 
-    scored = rows.select("_row", "context", "n", "c", "vector").mapInArrow(
-        work, "_row bigint, n bigint, log double, fit double"
-    )
-    return scored.groupBy("_row").agg(F.sum("n").alias("_far"), F.sum("log").alias("_log"), F.sum("fit").alias("_fit"))
+    scored = rows.select("_row", "context", "c", "vector").mapInArrow(work, "_row bigint, log double, fit double")
+    return scored.groupBy("_row").agg(F.count(F.lit(1)).alias("_far"), F.sum("log").alias("_log"), F.sum("fit").alias("_fit"))
 
 
 def score_texts(
@@ -490,7 +500,7 @@ def score_texts(
         (logs, np.log10(weights + 1.0), of_pairs, vectors, contexts, scale, float(np.log10(ends + 1)), int(ends > 0))
     )
     parts = cut_lineage(_score_parts(rows, kind, held, model, settings))
-    far = parts.select("_row", F.explode("_words").alias("_w")).select("_row", "_w.word", "_w.context", "_w.n")
+    far = parts.select("_row", F.explode("_words").alias("_w")).select("_row", "_w.word", "_w.context")
     joined = far.join(counts, "word").join(with_vectors.select("word", "vector"), "word", "left")
     more = _score_far(joined, spark.sparkContext.broadcast(contexts))
     zero = F.coalesce("_log", F.lit(0.0))
