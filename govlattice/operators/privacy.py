@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 import secrets
+from collections.abc import Iterable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from govlattice.functions.scale import running_totals
 from govlattice.session import cut_lineage
@@ -127,35 +131,99 @@ def advanced_composition_value(epsilon: float, k: int, delta: float) -> float:
 # -- budget ------------------------------------------------------------------------
 
 
-def _fold_ledger(rows: DataFrame, budget: str, seq: str, epsilon: str) -> DataFrame:
-    """Accept or reject in order, one bounded array per budget."""
-    item = F.struct(F.col(seq).alias("seq"), F.col(epsilon).alias("eps"))
-    out_type = "array<struct<seq:bigint,accepted:boolean,spent:double>>"
-    init = F.struct(
-        F.col("_start").alias("spent"), F.array().cast(out_type).alias("out")
-    )
+# Spends are decided in whole units of 1e-12, so sums carry no rounding in any order.
+UNIT = 10**12
 
-    def step(acc: Column, x: Column) -> Column:
-        left = F.round(F.col("_total") - acc["spent"], 10)
-        ok = (x["eps"] > 0) & (x["eps"] <= left + TOLERANCE)
-        spent = F.when(ok, acc["spent"] + x["eps"]).otherwise(acc["spent"])
-        entry = F.struct(
-            x["seq"].cast("bigint").alias("seq"), ok.alias("accepted"), spent.alias("spent")
-        )
-        return F.struct(
-            spent.alias("spent"), F.concat(acc["out"], F.array(entry).cast(out_type)).alias("out")
-        )
 
-    grouped = rows.groupBy(budget, "_total", "_start").agg(
-        F.sort_array(F.collect_list(item)).alias("_items")
-    )
-    walked = F.aggregate("_items", init, step, lambda a: a["out"])
-    return grouped.select(budget, F.explode(walked).alias("_r")).select(
-        budget,
-        F.col("_r.seq").alias(seq),
-        F.col("_r.accepted").alias("accepted"),
-        F.col("_r.spent").alias("spent"),
-    )
+def in_units(value: float) -> int:
+    """A number as whole units, from its shortest decimal form."""
+    return int((Decimal(repr(float(value))) * UNIT).to_integral_value(ROUND_HALF_UP))
+
+
+def decide(spends: Iterable[int | None], left: int) -> Iterator[tuple[bool, int]]:
+    """Accept or reject spends (in units) in order: the verdict and what is left after it."""
+    for epsilon in spends:
+        ok = epsilon is not None and 0 < epsilon <= left
+        left -= epsilon if ok else 0
+        yield ok, left
+
+
+def _summary(spends: list[int]) -> list[tuple[int, int, int, int | None]]:
+    """What positive spends, in order, do to a remainder, by its number of bits.
+
+    For 0 and each number of bits among the spends: (bits, sum of all spends of
+    that many bits or fewer, sum of those of fewer, the least remainder at the
+    start with which one of exactly that many bits fits if all of fewer do).
+    """
+    out = []
+    for bits in sorted({0} | {e.bit_length() for e in spends}):
+        fewer, exactly, least = 0, 0, None
+        for e in spends:
+            if e.bit_length() < bits:
+                fewer += e
+            elif e.bit_length() == bits:
+                exactly += e
+                least = e + fewer if least is None else min(least, e + fewer)
+        out.append((bits, fewer + exactly, fewer, least))
+    return out
+
+
+def _chunks(batches) -> Iterator[tuple]:
+    """(budget, chunk, start, rows) of sorted Arrow batches; the first three columns are one value in a chunk."""
+    key, rows = None, []
+    for batch in batches:
+        for values in zip(*[column.to_pylist() for column in batch.columns]):
+            if key is not None and key[:2] != values[:2]:
+                yield *key, rows
+                rows = []
+            key = values[:3]
+            rows.append(values[3:])
+    if key is not None:
+        yield *key, rows
+
+
+def _in_order(rows: DataFrame, start: str, more: list[str]) -> DataFrame:
+    ordered = rows.repartition("_budget", "_chunk").sortWithinPartitions("_budget", "_chunk", "_seq", "_epsilon")
+    return ordered.select("_budget", "_chunk", start, "_epsilon", *more)
+
+
+def _summaries(base: DataFrame) -> DataFrame:
+    kind = base.schema["_budget"].dataType
+    names = ["_budget", "_chunk", "_bits", "_upto", "_fewer", "_least"]
+    sums = pa.decimal128(38, 0)
+    types = [to_arrow_type(kind), pa.int64(), pa.int32(), sums, sums, sums]
+
+    def work(batches):
+        for key, chunk, total, rows in _chunks(batches):
+            found = _summary([e for (e,) in rows if e is not None and total is not None and 0 < e <= total])
+            numbers = [[None if x is None else Decimal(x) for x in row[1:]] for row in found]
+            columns = zip(*[(key, chunk, row[0], *more) for row, more in zip(found, numbers)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    schema = f"_budget {kind.simpleString()}, _chunk bigint, _bits int, _upto decimal(38,0), _fewer decimal(38,0), _least decimal(38,0)"
+    return _in_order(base, "_total", []).mapInArrow(work, schema)
+
+
+def _starts(summary: DataFrame, state: DataFrame) -> DataFrame:
+    """What is left at the start of each chunk (``_left``), if all chunks before it just pass, and whether it does (``_stops``)."""
+    bits = F.when(F.col("_now") > 0, F.length(F.bin("_now"))).otherwise(0)
+    begun = state.select(F.col("_budget").alias("_b"), "_now", "_next", bits.alias("_has"))
+    ahead = summary.join(begun, F.col("_budget").eqNullSafe(F.col("_b")) & (F.col("_chunk") >= F.col("_next")))
+    last = F.max(F.when(F.col("_bits") <= F.col("_has"), F.struct("_bits", "_upto", "_fewer", "_least"))).alias("_s")
+    per = ahead.groupBy("_budget", "_chunk", "_now", "_has").agg(last)
+    same = F.col("_s._bits") == F.col("_has")
+    per = per.select(
+        "_budget", "_chunk", "_now", "_has",
+        F.when(same, F.col("_s._fewer")).otherwise(F.col("_s._upto")).alias("_sum"),
+        F.when(same, F.col("_s._least")).alias("_least"),
+        F.floor(F.col("_chunk") / 4_096).alias("_range"),
+    )
+    summed = running_totals(per, ["_budget"], ["_chunk"], "_range", ["_sum"])
+    after = F.col("_now") - F.col("cum__sum")
+    before = after + F.col("_sum")
+    lowest = F.when(F.col("_has") > 0, F.pow(F.lit(2.0), F.col("_has") - 1)).otherwise(0).cast("decimal(38,0)")
+    stops = (F.col("_has") > 0) & ((after < lowest) | F.coalesce(F.col("_least") <= before, F.lit(False)))
+    return summed.select("_budget", "_chunk", before.alias("_left"), stops.alias("_stops"))
 
 
 def spend_budget(
@@ -164,116 +232,99 @@ def spend_budget(
     budget: str = "budget_id",
     seq: str = "seq",
     epsilon: str = "epsilon",
-    fold_limit: int = 2_048,
-    bucket_rows: int = 65_536,
+    chunk_rows: int = 8_192,
 ) -> DataFrame:
     """Decide every spend of every budget in order: accepted or rejected.
 
     A spend is accepted when it does not exceed what is left; a rejected one
-    does not count, so a running sum alone gives wrong answers. Budgets of up
-    to ``fold_limit`` spends are folded as one array. Larger ones are cut down
-    first, exactly and in parallel: what is left never grows, so a spend above
-    it is rejected for good; among the others everything before the first
-    overflow of a plain prefix sum is accepted. Each round removes that stretch
-    until few enough remain. Lineage is cut between rounds.
+    does not count, so a running sum alone gives wrong answers. One algorithm
+    serves ledgers of any size, on whole units of 1e-12 (finer numbers are
+    rounded to them), so no result depends on how rows are spread.
+
+    Spends are cut into chunks of ``chunk_rows`` consecutive values of ``seq``.
+    While the remainder of a budget has b bits, each spend of fewer bits fits,
+    and one of b bits that fits takes a bit off it. So a chunk just passes,
+    subtracting its spends of fewer bits, unless that takes a bit off or a
+    spend of b bits fits; a short summary of the chunk tells. A round passes the
+    chunks of all budgets at once up to the first that takes a bit off, and
+    folds that one alone. There are at most as many rounds as a total has bits,
+    however many spends. Last, each chunk is folded from its own start. A task
+    holds one chunk at a time.
+
+    Null, negative and non-finite epsilons are rejected. Rows with a null
+    ``seq`` are in the chunk of 0 and come first in it; rows with equal ``seq``
+    follow by epsilon, nulls first. A null total accepts nothing; totals above
+    9 million raise. Null budgets are one budget.
     """
     if not isinstance(total, Column):
         if total <= 0:
             raise ValueError("the total budget must be positive")
         total = F.lit(float(total))
-    base = ledger.select(
-        budget,
-        F.col(seq).cast("bigint").alias(seq),
-        F.col(epsilon).cast("double").alias(epsilon),
-        total.cast("double").alias("_total"),
-        F.lit(0.0).alias("_start"),
-    )
-
-    def big(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(budget).count().filter(F.col("count") > fold_limit).select(budget)
-
-    if big(base).limit(1).count() == 0:
-        decided = _fold_ledger(base, budget, seq, epsilon)
-    else:
-        decided = _spend_large(base, big, budget, seq, epsilon, bucket_rows)
-    left = ledger.select(
-        budget,
-        F.col(seq).cast("bigint").alias(seq),
-        F.col(epsilon).cast("double").alias(epsilon),
-        total.cast("double").alias("_total"),
-    )
-    return (
-        left.join(decided, [budget, seq])
-        .withColumn("remaining", F.round(F.col("_total") - F.col("spent"), 10))
-        .drop("_total")
-    )
-
-
-def _spend_large(base, big, budget, seq, epsilon, bucket_rows) -> DataFrame:
-    done: list[DataFrame] = []
-    rows = cut_lineage(base)
-    while True:
-        hot = big(rows)
-        if hot.limit(1).count() == 0:
-            break
-        large = rows.join(hot, budget, "left_semi")
-        done.append(_fold_ledger(rows.join(hot, budget, "left_anti"), budget, seq, epsilon))
-        left = F.round(F.col("_total") - F.col("_start"), 10)
-        fits = (F.col(epsilon) > 0) & (F.col(epsilon) <= left + TOLERANCE)
-        # What does not fit now never will.
-        done.append(
-            large.filter(~fits).select(
-                budget, seq, F.lit(False).alias("accepted"), F.col("_start").alias("spent")
-            )
-        )
-        ordered = large.filter(fits).withColumn("_bucket", F.floor(F.col(seq) / bucket_rows))
-        summed = running_totals(ordered, [budget], [seq], "_bucket", [epsilon])
-        over = F.col(f"cum_{epsilon}") > left + TOLERANCE
-        first = summed.groupBy(budget).agg(F.min(F.when(over, F.col(seq))).alias("_first"))
-        marked = cut_lineage(summed.join(first, budget))
-        before = F.col("_first").isNull() | (F.col(seq) < F.col("_first"))
-        running = F.col("_start") + F.col(f"cum_{epsilon}")
-        done.append(
-            marked.filter(before).select(
-                budget, seq, F.lit(True).alias("accepted"), running.alias("spent")
-            )
-        )
-        spent = marked.groupBy(budget).agg(
-            F.coalesce(F.max(F.when(before, running)), F.max("_start")).alias("_now")
-        )
-        later = marked.filter(~before).join(spent, budget)
-        done.append(
-            later.filter(F.col(seq) == F.col("_first")).select(
-                budget, seq, F.lit(False).alias("accepted"), F.col("_now").alias("spent")
-            )
-        )
-        rows = cut_lineage(
-            later.filter(F.col(seq) > F.col("_first")).select(
-                budget, seq, epsilon, "_total", F.col("_now").alias("_start")
-            )
+    if chunk_rows < 1:
+        raise ValueError("a chunk has at least one row")
+
+    def units(value: Column) -> Column:
+        return F.round(value.cast("decimal(38,18)") * F.lit(UNIT), 0).cast("bigint")
+
+    number, given, whole = F.col(seq).cast("bigint"), F.col(epsilon).cast("double"), total.cast("double")
+    base = cut_lineage(
+        ledger.select(
+            F.col(budget).alias("_budget"),
+            F.floor(F.coalesce(number, F.lit(0)) / chunk_rows).cast("bigint").alias("_chunk"),
+            number.alias("_seq"),
+            given.alias("_given"),
+            F.when((given > 0) & (given <= whole + 1), units(given)).alias("_epsilon"),
+            whole.alias("_whole"),
+            (units(whole) + in_units(TOLERANCE)).alias("_total"),
         )
-    done.append(_fold_ledger(rows, budget, seq, epsilon))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    # Rejected rows of a round carry the spending at its start; the running
-    # maximum turns that into the spending at their own place.
-    return _carry_spent(out, budget, seq, bucket_rows)
-
-
-def _carry_spent(decided: DataFrame, budget: str, seq: str, bucket_rows: int) -> DataFrame:
-    data = decided.withColumn("_bucket", F.floor(F.col(seq) / bucket_rows))
-    per = data.groupBy(budget, "_bucket").agg(F.max("spent").alias("_m"))
-    earlier = Window.partitionBy(budget).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
     )
-    offsets = per.select(budget, "_bucket", F.max("_m").over(earlier).alias("_before"))
-    inner = Window.partitionBy(budget, "_bucket").orderBy(seq).rowsBetween(
-        Window.unboundedPreceding, 0
+    kind = base.schema["_budget"].dataType
+    key_type = to_arrow_type(kind)
+    summary = cut_lineage(_summaries(base))
+    state = base.groupBy("_budget").agg(
+        F.coalesce(F.max("_total"), F.lit(0)).alias("_now"), F.min("_chunk").alias("_next")
     )
-    return data.join(offsets, [budget, "_bucket"]).select(
-        budget,
-        seq,
-        "accepted",
-        F.greatest(F.max("spent").over(inner), F.coalesce("_before", F.lit(0.0))).alias("spent"),
+    last = cut_lineage(summary.groupBy(F.col("_budget").alias("_b")).agg(F.max("_chunk").alias("_last")))
+
+    def fold(batches):
+        for key, chunk, left, rows in _chunks(batches):
+            for _, left in decide([e for (e,) in rows], int(left)):
+                pass
+            columns = [pa.array([key], key_type), pa.array([left], pa.int64()), pa.array([chunk + 1], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_budget", "_now", "_next"])
+
+    passed: DataFrame | None = None
+    state = cut_lineage(state)
+    while state.limit(1).count():
+        reached = cut_lineage(_starts(summary, state))
+        first = reached.groupBy(F.col("_budget").alias("_b")).agg(F.min(F.when(F.col("_stops"), F.col("_chunk"))).alias("_stop"))
+        until = reached.join(first, F.col("_budget").eqNullSafe(F.col("_b")))
+        known = until.filter(F.col("_stop").isNull() | (F.col("_chunk") <= F.col("_stop")))
+        known = known.select("_budget", "_chunk", F.col("_left").cast("bigint").alias("_left"), F.col("_chunk").eqNullSafe(F.col("_stop")).alias("_stops"))
+        passed = known if passed is None else passed.unionByName(known)
+        at = known.join(last, F.col("_budget").eqNullSafe(F.col("_b"))).filter("_stops and _chunk < _last")
+        stopped = at.select(F.col("_budget").alias("_b"), F.col("_chunk").alias("_c"), "_left")
+        here = F.col("_budget").eqNullSafe(F.col("_b")) & (F.col("_chunk") == F.col("_c"))
+        rows = _in_order(base.join(stopped, here), "_left", [])
+        state = cut_lineage(rows.mapInArrow(fold, f"_budget {kind.simpleString()}, _now bigint, _next bigint"))
+
+    names = [budget, seq, epsilon, "accepted", "spent", "remaining"]
+    types = [key_type, pa.int64(), pa.float64(), pa.bool_(), pa.float64(), pa.float64()]
+
+    def verdicts(batches):
+        for key, _, left, rows in _chunks(batches):
+            out = []
+            for (_, number, given, whole, total), (ok, rest) in zip(rows, decide([r[0] for r in rows], left)):
+                spent = 0.0 if total is None else (total - rest) / UNIT
+                out.append((key, number, given, ok, spent, None if whole is None else round(whole - spent, 10)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    if passed is None:  # no rows
+        passed = base.select("_budget", "_chunk", F.col("_total").alias("_left"))
+    starts = passed.select(F.col("_budget").alias("_b"), F.col("_chunk").alias("_c"), "_left")
+    here = F.col("_budget").eqNullSafe(F.col("_b")) & (F.col("_chunk") == F.col("_c"))
+    rows = _in_order(base.join(starts, here), "_left", ["_seq", "_given", "_whole", "_total"])
+    schema = (
+        f"`{budget}` {kind.simpleString()}, `{seq}` bigint, `{epsilon}` double, accepted boolean, spent double, remaining double"
     )
+    return rows.mapInArrow(verdicts, schema)

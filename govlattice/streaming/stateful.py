@@ -10,6 +10,7 @@ source must keep the order between micro-batches.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -21,7 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from govlattice.operators.audit import GENESIS, SEGMENT_ROWS
 from govlattice.operators.federation import call_snapshot
 from govlattice.operators.personal_data import detect_personal_data
-from govlattice.operators.privacy import TOLERANCE
+from govlattice.operators.privacy import TOLERANCE, UNIT, decide, in_units
 from govlattice.operators.prompts import scan_prompts
 
 STATE_STORE = {
@@ -177,20 +178,21 @@ def seal_stream(events: DataFrame, segment_rows: int | None = SEGMENT_ROWS) -> D
 
 class _Ledger(StatefulProcessor):
     def __init__(self, total: float):
-        self.total = total
+        self.total = in_units(total) + in_units(TOLERANCE)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.spent = handle.getValueState("spent", "spent double")
+        # Whole units, as in the batch ledger.
+        self.left = handle.getValueState("left", "units bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spent = self.spent.get()[0] if self.spent.exists() else 0.0
+        left = int(self.left.get()[0]) if self.left.exists() else self.total
+        feed = list(_sorted(rows, "seq"))
+        given = [float(row["epsilon"]) for row in feed]
+        units = [in_units(e) if math.isfinite(e) else None for e in given]
         out = []
-        for row in _sorted(rows, "seq"):
-            eps = float(row["epsilon"])
-            ok = eps > 0 and eps <= round(self.total - spent, 10) + TOLERANCE
-            spent += eps if ok else 0.0
-            out.append((key[0], int(row["seq"]), eps, ok, spent))
-        self.spent.update((spent,))
+        for row, epsilon, (ok, left) in zip(feed, given, decide(units, left)):  # noqa: B020
+            out.append((key[0], int(row["seq"]), epsilon, ok, (self.total - left) / UNIT))
+        self.left.update((left,))
         yield pd.DataFrame(out, columns=["budget_id", "seq", "epsilon", "accepted", "spent"])
 
     def close(self) -> None:

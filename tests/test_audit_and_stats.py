@@ -231,8 +231,8 @@ def test_privacy(spark):
     )
 
 
-@pytest.mark.parametrize("limit", [2048, 60])
-def test_budget(spark, limit):
+@pytest.mark.parametrize("chunk_rows", [8_192, 7])
+def test_budget(spark, chunk_rows):
     rnd = random.Random(1)
     rows = [(b, i, rnd.choice([0.001, 0.05, 0.4, -1.0]) * rnd.random()) for b in (1, 2) for i in range(150 if b == 1 else 20)]
     want, spent = {}, {}
@@ -242,10 +242,38 @@ def test_budget(spark, limit):
         spent[b] = s + e if ok else s
         want[(b, i)] = (ok, round(spent[b], 6))
     df = spark.createDataFrame(rows, "budget_id int, seq bigint, epsilon double")
-    out = privacy.spend_budget(df, 1.0, fold_limit=limit, bucket_rows=32).collect()
+    out = privacy.spend_budget(df, 1.0, chunk_rows=chunk_rows).collect()
     assert {(r.budget_id, r.seq): (r.accepted, round(r.spent, 6)) for r in out} == want
 
 
+@pytest.mark.parametrize("chunk_rows", [8_192, 3, 1])
+def test_budget_of_any_shape(spark, chunk_rows):
+    """Nearly fitting spends in every chunk, powers of two, one unit too much, nulls, repeated rows, no rows."""
+    rnd = random.Random(2)
+    nearly = [x for i in range(40) for x in (0.01, 1.0 - 0.01 * i)]
+    powers = [2.0 ** -rnd.randint(0, 30) for _ in range(60)]
+    exact = [0.1] * 10 + [1e-9, 2e-9, 1e-12, None, float("nan"), float("inf"), -1.0, 0.0]
+    ledgers = {"nearly": nearly, "powers": powers, "exact": exact, None: [0.7, 0.2, 0.7, 0.1]}
+    rows = [(b, 5 * i, e) for b, spends in ledgers.items() for i, e in enumerate(spends)]
+    rows += [("again", 1, 0.6), ("again", 1, 0.6), ("again", None, 0.3)]
+    ledgers["again"] = [0.3, 0.6, 0.6]
+    want = []
+    for b, spends in ledgers.items():
+        units = [None if e is None or not -9 < e < 9 else privacy.in_units(e) for e in spends]
+        verdicts = [ok for ok, _ in privacy.decide(units, privacy.in_units(1.0) + privacy.in_units(privacy.TOLERANCE))]
+        spent = 0.0
+        for ok, e in zip(verdicts, spends):
+            spent += e if ok else 0.0
+            want.append((str(b), ok, round(spent, 9)))
+    df = spark.createDataFrame(rows, "budget_id string, seq bigint, epsilon double")
+    out = privacy.spend_budget(df, 1.0, chunk_rows=chunk_rows)
+    got = sorted((str(r.budget_id), r.accepted, round(r.spent, 9)) for r in out.collect())
+    assert got == sorted(want) and out.columns == ["budget_id", "seq", "epsilon", "accepted", "spent", "remaining"]
+    assert privacy.spend_budget(df.limit(0), 1.0).count() == 0
+    nothing = privacy.spend_budget(df, privacy.F.lit(None)).filter("accepted or spent > 0 or remaining is not null")
+    assert nothing.count() == 0
+
+
 def test_federation(spark):
     df = spark.createDataFrame(
         [("a", 100.0, "low"), ("a", 50.005, "medium"), ("b", 5.0, "critical")], "node string, score double, risk_level string"
