@@ -241,18 +241,18 @@ def spend_budget(
     serves ledgers of any size, on whole units of 1e-12 (finer numbers are
     rounded to them), so no result depends on how rows are spread.
 
-    Spends are cut into chunks of ``chunk_rows`` consecutive values of ``seq``.
-    While the remainder of a budget has b bits, each spend of fewer bits fits,
+    The spends of a budget are cut into chunks, equal ranges of ``seq`` as many as
+    give about ``chunk_rows`` rows each if its values are spread evenly. While the remainder of a budget has b bits, each spend of fewer bits fits,
     and one of b bits that fits takes a bit off it. So a chunk just passes,
     subtracting its spends of fewer bits, unless that takes a bit off or a
     spend of b bits fits; a short summary of the chunk tells. A round passes the
     chunks of all budgets at once up to the first that takes a bit off, and
     folds that one alone. There are at most as many rounds as a total has bits,
-    however many spends. Last, each chunk is folded from its own start. A task
-    holds one chunk at a time.
+    however many spends. Last, each chunk is folded from its own start, which for
+    the only chunk of a budget is its total. A task holds one chunk at a time.
 
     Null, negative and non-finite epsilons are rejected. Rows with a null
-    ``seq`` are in the chunk of 0 and come first in it; rows with equal ``seq``
+    ``seq`` come first; rows with equal ``seq``
     follow by epsilon, nulls first. A null total accepts nothing; totals above
     9 million raise. Null budgets are one budget.
     """
@@ -267,24 +267,27 @@ def spend_budget(
         return F.round(value.cast("decimal(38,18)") * F.lit(UNIT), 0).cast("bigint")
 
     number, given, whole = F.col(seq).cast("bigint"), F.col(epsilon).cast("double"), total.cast("double")
+    rows = ledger.select(
+        F.col(budget).alias("_budget"),
+        number.alias("_seq"),
+        given.alias("_given"),
+        F.when((given > 0) & (given <= whole + 1), units(given)).alias("_epsilon"),
+        whole.alias("_whole"),
+        (units(whole) + in_units(TOLERANCE)).alias("_total"),
+    )
+    place = F.col("_seq").cast("double")
+    pieces = F.ceil(F.count(F.lit(1)) / chunk_rows)
+    sizes = rows.groupBy(F.col("_budget").alias("_b")).agg(
+        pieces.alias("_pieces"), F.min(place).alias("_from"), ((F.max(place) - F.min(place) + 1) / pieces).alias("_width")
+    )
+    of_budget = F.col("_budget").eqNullSafe(F.col("_b"))
+    chunk = F.coalesce(F.floor((place - F.col("_from")) / F.col("_width")), F.lit(0)).cast("bigint")
     base = cut_lineage(
-        ledger.select(
-            F.col(budget).alias("_budget"),
-            F.floor(F.coalesce(number, F.lit(0)) / chunk_rows).cast("bigint").alias("_chunk"),
-            number.alias("_seq"),
-            given.alias("_given"),
-            F.when((given > 0) & (given <= whole + 1), units(given)).alias("_epsilon"),
-            whole.alias("_whole"),
-            (units(whole) + in_units(TOLERANCE)).alias("_total"),
-        )
+        rows.join(sizes, of_budget).select(*rows.columns, chunk.alias("_chunk"), (F.col("_pieces") > 1).alias("_many"))
     )
     kind = base.schema["_budget"].dataType
     key_type = to_arrow_type(kind)
-    summary = cut_lineage(_summaries(base))
-    state = base.groupBy("_budget").agg(
-        F.coalesce(F.max("_total"), F.lit(0)).alias("_now"), F.min("_chunk").alias("_next")
-    )
-    last = cut_lineage(summary.groupBy(F.col("_budget").alias("_b")).agg(F.max("_chunk").alias("_last")))
+    large = base.filter("_many")
 
     def fold(batches):
         for key, chunk, left, rows in _chunks(batches):
@@ -294,8 +297,14 @@ def spend_budget(
             yield pa.RecordBatch.from_arrays(columns, ["_budget", "_now", "_next"])
 
     passed: DataFrame | None = None
-    state = cut_lineage(state)
-    while state.limit(1).count():
+    state, summary, last = None, None, None
+    if large.limit(1).count():
+        summary = cut_lineage(_summaries(large))
+        last = cut_lineage(summary.groupBy(F.col("_budget").alias("_b")).agg(F.max("_chunk").alias("_last")))
+        state = cut_lineage(
+            large.groupBy("_budget").agg(F.coalesce(F.max("_total"), F.lit(0)).alias("_now"), F.min("_chunk").alias("_next"))
+        )
+    while state is not None and state.limit(1).count():
         reached = cut_lineage(_starts(summary, state))
         first = reached.groupBy(F.col("_budget").alias("_b")).agg(F.min(F.when(F.col("_stops"), F.col("_chunk"))).alias("_stop"))
         until = reached.join(first, F.col("_budget").eqNullSafe(F.col("_b")))
@@ -305,8 +314,8 @@ def spend_budget(
         at = known.join(last, F.col("_budget").eqNullSafe(F.col("_b"))).filter("_stops and _chunk < _last")
         stopped = at.select(F.col("_budget").alias("_b"), F.col("_chunk").alias("_c"), "_left")
         here = F.col("_budget").eqNullSafe(F.col("_b")) & (F.col("_chunk") == F.col("_c"))
-        rows = _in_order(base.join(stopped, here), "_left", [])
-        state = cut_lineage(rows.mapInArrow(fold, f"_budget {kind.simpleString()}, _now bigint, _next bigint"))
+        stops = _in_order(large.join(stopped, here), "_left", [])
+        state = cut_lineage(stops.mapInArrow(fold, f"_budget {kind.simpleString()}, _now bigint, _next bigint"))
 
     names = [budget, seq, epsilon, "accepted", "spent", "remaining"]
     types = [key_type, pa.int64(), pa.float64(), pa.bool_(), pa.float64(), pa.float64()]
@@ -319,11 +328,13 @@ def spend_budget(
                 out.append((key, number, given, ok, spent, None if whole is None else round(whole - spent, 10)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    if passed is None:  # no rows
-        passed = base.select("_budget", "_chunk", F.col("_total").alias("_left"))
-    starts = passed.select(F.col("_budget").alias("_b"), F.col("_chunk").alias("_c"), "_left")
-    here = F.col("_budget").eqNullSafe(F.col("_b")) & (F.col("_chunk") == F.col("_c"))
-    rows = _in_order(base.join(starts, here), "_left", ["_seq", "_given", "_whole", "_total"])
+    begun = base.withColumn("_left", F.lit(None).cast("bigint"))
+    if passed is not None:
+        starts = passed.select(F.col("_budget").alias("_b"), F.col("_chunk").alias("_c"), "_left")
+        here = F.col("_budget").eqNullSafe(F.col("_b")) & (F.col("_chunk") == F.col("_c"))
+        begun = base.join(starts, here, "left")
+    begun = begun.withColumn("_left", F.coalesce("_left", "_total", F.lit(0)))
+    rows = _in_order(begun, "_left", ["_seq", "_given", "_whole", "_total"])
     schema = (
         f"`{budget}` {kind.simpleString()}, `{seq}` bigint, `{epsilon}` double, accepted boolean, spent double, remaining double"
     )
