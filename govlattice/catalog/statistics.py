@@ -194,13 +194,20 @@ def drift_verdicts(spark, base):
 # -- privacy -------------------------------------------------------------------------
 
 
+# A seeded draw: 52 bits of a hash of the seed and the group, as a uniform number in (-0.5, 0.5).
+NOISE_SQL = """, u AS (SELECT *, (('0x' || substr(sha256('seed:7' || chr(31) || {key}), 1, 13))::BIGINT + 0.5) / 4503599627370496 - 0.5 AS u FROM c)
+       SELECT * EXCLUDE (u, raw, sens), 'laplace' AS mechanism,
+         round(raw - sens / epsilon * sign(u) * ln(1 - 2 * abs(u)), 6)::DOUBLE AS noisy_value FROM u"""
+
+
 @query(
     "private_counts",
-    """SELECT o_orderpriority, count(*) FILTER (WHERE o_totalprice > 150000)::DOUBLE AS true_value,
-         0.5::DOUBLE AS epsilon, 1.0::DOUBLE AS sensitivity FROM orders GROUP BY 1""",
+    """WITH c AS (SELECT o_orderpriority, count(*) FILTER (WHERE o_totalprice > 150000)::DOUBLE AS true_value,
+         0.5::DOUBLE AS epsilon, 1.0::DOUBLE AS sensitivity, true_value AS raw, sensitivity AS sens FROM orders GROUP BY 1)"""
+    + NOISE_SQL.format(key="o_orderpriority"),
 )
 def private_counts(spark, base):
-    """The deterministic part; the noisy value is in ``private_release``."""
+    """Seeded, so that the released values can be compared; ``private_release`` draws its own secret."""
     orders = table(spark, base, "orders").select("o_orderpriority", "o_totalprice")
     return privacy.private_count(
         orders,
@@ -209,24 +216,22 @@ def private_counts(spark, base):
         by=["o_orderpriority"],
         seed=7,
         keep_true=True,
-    ).select("o_orderpriority", "true_value", "epsilon", "sensitivity")
+    ).withColumn("noisy_value", F.round("noisy_value", 6))
 
 
 @query(
     "private_means",
-    """SELECT c_mktsegment, round(avg(least(greatest(c_acctbal, 0), 5000)), 6)::DOUBLE AS true_value,
-         round(5000.0 / count(*), 9)::DOUBLE AS sensitivity FROM customer GROUP BY 1""",
+    """WITH c AS (SELECT c_mktsegment, avg(least(greatest(c_acctbal, 0), 5000)) AS raw, 5000.0::DOUBLE / count(*) AS sens,
+         round(raw, 6)::DOUBLE AS true_value, round(sens, 9)::DOUBLE AS sensitivity, 1.0::DOUBLE AS epsilon FROM customer GROUP BY 1)"""
+    + NOISE_SQL.format(key="c_mktsegment"),
 )
 def private_means(spark, base):
     customers = table(spark, base, "customer").select("c_mktsegment", "c_acctbal")
     out = privacy.private_mean(
         customers, "c_acctbal", 0, 5000, by=["c_mktsegment"], seed=7, keep_true=True
     )
-    return out.select(
-        "c_mktsegment",
-        F.round("true_value", 6).alias("true_value"),
-        F.round("sensitivity", 9).alias("sensitivity"),
-    )
+    digits = {"true_value": 6, "sensitivity": 9, "noisy_value": 6}
+    return out.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
 @query("private_release")
