@@ -241,7 +241,7 @@ def merkle_log_proofs(spark, base):
     early = F.col("pos") < 77
     first, peaks = G.append_leaves(None, leaves.filter(early), ["l_suppkey"])
     second, peaks = G.append_leaves(peaks, leaves.filter(~early), ["l_suppkey"])
-    proofs = G.log_proofs(first.unionByName(second), peaks, leaves, ["l_suppkey"]).join(leaves, ["l_suppkey", "pos"])
+    proofs = G.log_proofs(first.unionByName(second), peaks, leaves, ["l_suppkey"], keep=["hash"])
     return M.verify_proofs(proofs).select("l_suppkey", "pos", F.size("path").cast("bigint").alias("steps"), "valid")
 
 

@@ -12,6 +12,7 @@ stored nodes and the right edge that follows from the peaks.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,11 @@ HEIGHTS = 63
 NODE = "struct<height:int,at:bigint,hash:string>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _climb(level: Column, bits: int, base: int) -> Column:
     """Fold one block upwards: ``nodes`` left at its top, finished ``made`` nodes, ``peaks`` that found no partner.
 
@@ -35,14 +41,25 @@ def _climb(level: Column, bits: int, base: int) -> Column:
 
     def step(acc: Column, k: Column) -> Column:
         own = F.get(F.filter(level["old"], lambda p: p["height"] == base + k), F.lit(0))
+        return _bound(own, lambda own: taken(acc, k, own))
+
+    def taken(acc: Column, k: Column, own: Column) -> Column:
         joins = own.isNotNull() & (F.size(acc["nodes"]) > 0)
         nodes = F.when(joins, F.concat(F.array(own["hash"]), acc["nodes"])).otherwise(acc["nodes"])
         at = F.when(joins, acc["at"] - 1).otherwise(acc["at"])
+        return _bound(F.struct(nodes.alias("nodes"), at.alias("at"), joins.alias("joins")), lambda row: paired(acc, k, own, row))
+
+    def paired(acc: Column, k: Column, own: Column, row: Column) -> Column:
+        nodes = row["nodes"]
         whole = F.floor(F.size(nodes) / 2).cast("int")
         up = F.transform(
             F.filter(F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0))), lambda i: i < whole),
             lambda i: hash_pair(F.get(nodes, i * 2), F.get(nodes, i * 2 + 1)),
         )
+        return _bound(up, lambda up: folded(acc, k, own, row, up))
+
+    def folded(acc: Column, k: Column, own: Column, row: Column, up: Column) -> Column:
+        nodes, at, joins = row["nodes"], row["at"], row["joins"]
         above = F.floor(at / 2).cast("bigint")
         made = F.transform(
             up,
@@ -84,17 +101,14 @@ def append_leaves(
     peaks. Null keys are a log of their own.
     """
     names = [F.col(k) for k in keys]
-    new = cut_lineage(leaves.select(*names, F.col(pos).cast("bigint").alias("at"), F.col(hash_).alias("hash")))
+    new = leaves.select(*names, F.col(pos).cast("bigint").alias("at"), F.col(hash_).alias("hash"))
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new.schema.fields[: len(keys)])
     if peaks is None:
         peaks = leaves.sparkSession.createDataFrame([], f"{kind}, leaves bigint, height int, at bigint, hash string")
-    grown = new.groupBy(*keys).agg((F.max("at") + 1).alias("leaves"))
-    most = grown.agg(F.max("leaves").alias("m")).first()["m"] or 0
     old = cut_lineage(peaks.select(*keys, "height", "at", "hash", "leaves"))
     level = new
-    finished = [new.select(*keys, F.lit(0).alias("height"), "at", "hash")]
-    waiting = []
-    base, reach = 0, 1
+    finished, waiting = [], []
+    base, reach, most = 0, 1, 0
     while base == 0 or reach < most:
         blocks = level.groupBy(*keys, F.shiftright("at", bits).alias("_block")).agg(
             F.sort_array(F.collect_list(F.struct("at", "hash"))).alias("_items")
@@ -113,9 +127,17 @@ def append_leaves(
             F.coalesce(F.transform("_items", lambda x: x["hash"]), F.array().cast("array<string>")).alias("hashes"),
             F.coalesce("_old", F.array().cast(f"array<{NODE}>")).alias("old"),
         )
+        # The leaves of a block are stored along with its nodes: the append's only copy of them.
+        own = [F.col("_items").alias("_own"), (F.element_at("_items", -1)["at"] + 1).alias("_end")] if base == 0 else []
         climbed = cut_lineage(
-            joined.withColumn("_b", block).select(*keys, "_block", _climb(F.col("_b"), bits, base).alias("_c"))
+            joined.withColumn("_b", block).select(*keys, "_block", *own, _climb(F.col("_b"), bits, base).alias("_c"))
         )
+        if base == 0:
+            finished.append(
+                climbed.select(*keys, F.explode("_own").alias("_n")).select(*keys, F.lit(0).alias("height"), "_n.at", "_n.hash")
+            )
+            grown = climbed.filter("_end IS NOT NULL").groupBy(*keys).agg(F.max("_end").alias("leaves"))
+            most = grown.agg(F.max("leaves").alias("m")).first()["m"] or 0
         finished.append(climbed.select(*keys, F.explode("_c.made").alias("_n")).select(*keys, "_n.*"))
         waiting.append(climbed.select(*keys, F.explode("_c.peaks").alias("_n")).select(*keys, "_n.*"))
         level = climbed.filter(F.size("_c.nodes") > 0).select(
@@ -131,7 +153,8 @@ def append_leaves(
         sizes.alias("s"), reduce(lambda a, b: a & b, [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
     )
     after = rows.select(*[F.col(f"p.{k}") for k in keys], F.col("_leaves").alias("leaves"), "height", "at", "hash")
-    return cut_lineage(reduce(DataFrame.unionByName, finished)), cut_lineage(after)
+    # The nodes are read from the blocks as they are stored; only the few peaks are written anew.
+    return reduce(DataFrame.unionByName, finished), cut_lineage(after)
 
 
 def right_edges(peaks: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,37 +185,103 @@ def log_roots(peaks: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.groupBy(*keys, "leaves").agg(F.max(F.struct("height", "hash"))["hash"].alias("root"))
 
 
-def log_proofs(nodes: DataFrame, peaks: DataFrame, leaves: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+def _siblings(levels: Column, block: Column, base: int, at: Column, leaves: Column, bits: int) -> Column:
+    """Steps of a node at height ``base`` up to the top of its block.
+
+    ``levels`` are the block's nodes by height, each level in order without gaps.
+    """
+
+    def step(k: Column) -> Column:
+        own = F.call_function("shiftright", at, k)
+        even = own % 2 == 0
+        other = F.when(even, own + 1).otherwise(own - 1)
+        # A node whose partner lies behind the end is paired with itself.
+        wanted = F.when(F.call_function("shiftleft", other, k + base) >= leaves, own).otherwise(other)
+        first = F.call_function("shiftleft", block, F.lit(bits) - k)
+        node = F.get(F.get(levels, k), (wanted - first).cast("int"))
+        return F.struct(
+            F.when(node["at"] == wanted, node["hash"]).alias("sibling_hash"),
+            F.when(even, "right").otherwise("left").alias("position"),
+        )
+
+    # As many steps lead to the root as a tree of the log's size has levels.
+    heights = F.ceil(F.log2(leaves)).cast("int")
+    steps = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: k + base < heights)
+    return F.filter(F.transform(steps, step), lambda s: s["sibling_hash"].isNotNull()).cast(STEP_TYPE)
+
+
+def _blocks_of(nodes: DataFrame, keys: list[str], base: int, bits: int) -> DataFrame:
+    """``levels`` of the blocks whose lowest nodes have height ``base``; of nodes in one place the last by ``_now`` counts."""
+    here = nodes.filter((F.col("height") >= base) & (F.col("height") < base + bits)).withColumn("_k", F.col("height") - base)
+    blocks = here.groupBy(*keys, F.expr(f"shiftright(at, {bits} - _k)").alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct("_k", "at", "_now", "hash"))).alias("_all")
+    )
+
+    def is_last(n: Column, i: Column) -> Column:
+        after = F.get(F.col("_all"), i + 1)
+        return after.isNull() | (after["_k"] != n["_k"]) | (after["at"] != n["at"])
+
+    def levels(nodes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: F.filter(nodes, lambda n: n["_k"] == k))
+
+    return blocks.select(*keys, "_block", _bound(F.filter("_all", is_last), levels).alias("levels"))
+
+
+def log_proofs(
+    nodes: DataFrame,
+    peaks: DataFrame,
+    leaves: DataFrame,
+    keys: list[str],
+    pos: str = "pos",
+    bits: int = BLOCK_BITS,
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """Inclusion path and root of each of ``leaves`` (keys, pos) in the log as its peaks have it.
 
     ``nodes`` are the finished nodes of all appends so far; a node beyond the
     size that the peaks record is not used, so older peaks still give proofs.
+    Nodes and leaves meet in blocks of ``bits`` heights, as in an append: each
+    is shuffled once, the path above a block is found once for all its leaves,
+    and no path is shuffled. Columns of ``leaves`` named in ``keep`` are passed on.
     """
-    edge = right_edges(peaks, keys)
-    every = nodes.select(*keys, "height", "at", "hash").unionByName(edge.select(*keys, "height", "at", "hash")).distinct()
-    sizes = log_roots(peaks, keys)
-    wanted = leaves.select(*keys, F.col(pos).cast("bigint").alias("pos")).join(sizes, keys).filter("pos < leaves")
-    heights = F.ceil(F.log2(F.col("leaves"))).cast("int")
-    steps = wanted.withColumn(
-        "height", F.explode(F.filter(F.sequence(F.lit(0), F.greatest(heights - 1, F.lit(0))), lambda h: h < heights))
-    ).withColumn("_own", F.expr("shiftright(pos, height)"))
-    # A node whose partner lies behind the end is paired with itself.
-    other = F.when(F.col("_own") % 2 == 0, F.col("_own") + 1).otherwise(F.col("_own") - 1)
-    beyond = F.expr("shiftleft(_other, height) >= leaves")
-    steps = steps.withColumn("_other", other).withColumn("at", F.when(beyond, F.col("_own")).otherwise(F.col("_other")))
     # A finished node of a later append covers leaves that these peaks do not have: the edge stands there.
-    ends = edge.select(*keys, "height", "at", F.lit(True).alias("_edge"))
-    found = steps.join(every, [*keys, "height", "at"]).join(ends, [*keys, "height", "at"], "left")
-    current = edge.select(*keys, "height", "at", F.col("hash").alias("_now"))
-    found = found.join(current, [*keys, "height", "at"], "left").filter("_edge IS NULL OR hash = _now")
-    step = F.struct(
-        "height",
-        F.col("hash").alias("sibling_hash"),
-        F.when(F.col("_own") % 2 == 0, "right").otherwise("left").alias("position"),
-    )
-    paths = found.groupBy(*keys, "pos").agg(F.sort_array(F.collect_set(step)).alias("_s"))
+    edge = right_edges(peaks, keys).select(*keys, "height", "at", "hash", F.lit(1).alias("_now"))
+    every = nodes.select(*keys, "height", "at", "hash", F.lit(0).alias("_now")).unionByName(edge)
+    most = peaks.agg(F.max("leaves").alias("m")).first()["m"] or 0
+    bases = [0]
+    while 1 << (bases[-1] + bits) < most:
+        bases.append(bases[-1] + bits)
+    none = F.array().cast(STEP_TYPE)
+    above = log_roots(peaks, keys).select(*keys, F.lit(0).cast("bigint").alias("_block"), none.alias("_above"), "leaves", "root")
+    on = [*keys, "_block"]
+    for base in reversed(bases[1:]):
+        # The nodes at this height are the blocks below.
+        size = F.ceil(F.col("leaves") / F.lit(float(1 << base))).cast("bigint")
+        first = F.expr(f"shiftleft(_block, {bits})")
+        below = F.sequence(first, F.least(first + (1 << bits), size) - 1)
+        rows = above.join(_blocks_of(every, keys, base, bits), on, "left")
+        paths = F.transform(
+            below,
+            lambda at: F.struct(
+                at.alias("_block"),
+                F.concat(
+                    F.coalesce(_siblings(F.col("levels"), F.col("_block"), base, at, F.col("leaves"), bits), none), F.col("_above")
+                ).alias("_above"),
+            ),
+        )
+        above = rows.select(*keys, F.explode(paths).alias("_b"), "leaves", "root").select(*keys, "_b.*", "leaves", "root")
+    asked = leaves.select(*keys, F.col(pos).cast("bigint").alias("pos"), *keep)
+    asked = asked.groupBy(*keys, F.shiftright("pos", bits).alias("_block")).agg(F.collect_list(F.struct("pos", *keep)).alias("_asked"))
+    rows = asked.join(above, on).join(_blocks_of(every, keys, 0, bits), on, "left")
     # Logs of one leaf have an empty path.
-    out = wanted.join(paths, [*keys, "pos"], "left")
-    path = F.transform(F.coalesce("_s", F.array().cast("array<struct<height:int,sibling_hash:string,position:string>>")),
-                       lambda s: F.struct(s["sibling_hash"].alias("sibling_hash"), s["position"].alias("position")))
-    return out.select(*keys, "pos", "leaves", "root", path.cast(STEP_TYPE).alias("path"))
+    proofs = F.transform(
+        F.filter("_asked", lambda a: a["pos"] < F.col("leaves")),
+        lambda a: F.struct(
+            *[a[c].alias(c) for c in ("pos", *keep)],
+            F.concat(
+                F.coalesce(_siblings(F.col("levels"), F.col("_block"), 0, a["pos"], F.col("leaves"), bits), none), F.col("_above")
+            ).alias("path"),
+        ),
+    )
+    out = rows.select(*keys, F.explode(proofs).alias("_p"), "leaves", "root")
+    return out.select(*keys, "_p.pos", *[F.col(f"_p.{c}") for c in keep], "leaves", "root", "_p.path")

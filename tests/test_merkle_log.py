@@ -106,3 +106,26 @@ def test_an_empty_append(spark):
     _, one = append_leaves(peaks, frame(spark, [(7, 0, 6)]), ["log"])
     _, same = append_leaves(one, none, ["log"])
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, same.select(one.columns).collect()))
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_proofs_by_blocks_pass_columns_on(spark, bits):
+    """Several blocks a log; leaves that occur twice are proved twice, those behind the end not at all."""
+    leaves = frame(spark, [(1, 0, 21), (2, 0, 8), (3, 0, 1), (4, 0, 33)])
+    nodes, peaks = append_leaves(None, leaves, ["log"], bits=bits)
+    asked = leaves.unionByName(leaves.filter("log = 1")).unionByName(frame(spark, [(2, 8, 9), (5, 0, 2)]))
+    # Nodes that are stored twice count once.
+    got = log_proofs(nodes.unionByName(nodes), peaks, asked, ["log"], bits=bits, keep=["hash"])
+    rows = M.verify_proofs(got).collect()
+    assert len(rows) == 2 * 21 + 8 + 1 + 33 and all(r["valid"] for r in rows)
+    wanted = {(r["log"], r["pos"]): r["path"] for r in M.merkle_proofs(leaves, ["log"]).collect() if r["log"] != 3}
+    assert all(r["path"] == wanted.get((r["log"], r["pos"]), []) for r in rows)
+
+
+def test_no_path_is_shuffled(spark):
+    leaves = frame(spark, [(1, 0, 21)])
+    nodes, peaks = append_leaves(None, leaves, ["log"], bits=2)
+    plan = log_proofs(nodes, peaks, leaves, ["log"], bits=10, keep=["hash"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Generate explode" in line and "sibling_hash" in line]
+    # Paths are made by the topmost generator, behind every join.
+    assert joins and plan.index(joins[0]) < plan.index("Join ")
