@@ -200,14 +200,17 @@ def _siblings(levels: Column, block: Column, base: int, at: Column, leaves: Colu
         first = F.call_function("shiftleft", block, F.lit(bits) - k)
         node = F.get(F.get(levels, k), (wanted - first).cast("int"))
         return F.struct(
-            F.when(node["at"] == wanted, node["hash"]).alias("sibling_hash"),
+            (node["at"] == wanted).alias("stored"),
+            node["hash"].alias("sibling_hash"),
             F.when(even, "right").otherwise("left").alias("position"),
         )
 
     # As many steps lead to the root as a tree of the log's size has levels.
     heights = F.ceil(F.log2(leaves)).cast("int")
     steps = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: k + base < heights)
-    return F.filter(F.transform(steps, step), lambda s: s["sibling_hash"].isNotNull()).cast(STEP_TYPE)
+    # A node without a hash is a step all the same.
+    stored = F.filter(F.transform(steps, step), lambda s: s["stored"])
+    return F.transform(stored, lambda s: F.struct(s["sibling_hash"], s["position"])).cast(STEP_TYPE)
 
 
 def _blocks_of(nodes: DataFrame, keys: list[str], base: int, bits: int) -> DataFrame:

@@ -129,3 +129,11 @@ def test_no_path_is_shuffled(spark):
     joins = [line for line in plan.splitlines() if "Generate explode" in line and "sibling_hash" in line]
     # Paths are made by the topmost generator, behind every join.
     assert joins and plan.index(joins[0]) < plan.index("Join ")
+
+
+def test_a_leaf_without_a_hash_is_a_step(spark):
+    leaves = frame(spark, [(1, 0, 8)]).withColumn("hash", F.when(F.col("pos") != 3, F.col("hash")))
+    nodes, peaks = append_leaves(None, leaves, ["log"], bits=2)
+    steps = {r["pos"]: [s["sibling_hash"] for s in r["path"]] for r in log_proofs(nodes, peaks, leaves, ["log"], bits=2).collect()}
+    assert {len(s) for s in steps.values()} == {3}
+    assert steps[2][0] is None and steps[5][0] == leaf(1, 4) and steps[5][2] is None
