@@ -20,6 +20,8 @@ LINE_THROUGH = (
 BLOCK = r"(?i)<br\s*/?>|</?(?:p|div|h[1-6]|tr|li|table|blockquote|center)\b[^>]*>"
 TAG = r"(?s)<[^>]+>"
 STRUCK_PASSES = 3
+# What html.unescape takes for a reference.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 def decode_bytes(raw: Column) -> Column:
@@ -38,14 +40,20 @@ def _cp1252(raw: Column) -> Column:
     return F.pandas_udf(_cp1252_series, "string")(invalid)
 
 
-def _unescape_series(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+def _unescape_series(found: pd.Series) -> pd.Series:
+    return found.map(lambda refs: [html.unescape(r) for r in refs], na_action="ignore")
 
 
 def unescape(text: Column) -> Column:
-    """Character references to characters; only texts with an ampersand travel."""
-    sent = F.when(text.contains("&"), text)
-    return F.coalesce(F.pandas_udf(_unescape_series, "string")(sent), text)
+    """Character references to characters; only the references travel, texts stay where they are.
+
+    ``text`` is read several times, so it should be a plain column.
+    """
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    plain = F.pandas_udf(_unescape_series, "array<string>")(F.when(text.contains("&"), found))
+    # One more piece than references.
+    joined = F.zip_with(F.split(text, REFERENCE, -1), plain, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+    return F.coalesce(F.array_join(joined, ""), text)
 
 
 def legal_text(df: DataFrame, markup: str, name: str = "text") -> DataFrame:
@@ -68,7 +76,7 @@ def legal_text(df: DataFrame, markup: str, name: str = "text") -> DataFrame:
     t = F.regexp_replace("_t", space, " ")
     t = F.regexp_replace(t, BLOCK, "\n")
     t = F.regexp_replace(t, TAG, " ")
-    staged = staged.withColumn("_t", unescape(t))
+    staged = staged.withColumn("_t", t).withColumn("_t", unescape(F.col("_t")))
     t = F.regexp_replace(F.translate("_t", " ", " "), r"[ \t]+", " ")
     lines = F.transform(
         F.split(t, "\n"),

@@ -79,3 +79,17 @@ def test_synthetic_people(spark):
     assert a.filter("synthetic").count() == 50
     with pytest.raises(ValueError):
         synthetic.synthetic_people(spark, -1)
+
+
+def test_only_references_are_unescaped(spark):
+    """As html.unescape over the whole text, which itself never goes to Python."""
+    import html
+
+    from govlattice.sources.markup import unescape
+    from pyspark.sql import functions as F
+
+    texts = ["", "a", "&amp;", "x&amp;lt;y", "&ampx;", "&#65;&#x42 &#0;", "&#x110000;", "a&notit;b", "& &; &&amp;&", "t&copy", "&#;&#xZ;", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescape(F.col("t")).alias("u"))
+    assert [r["u"] for r in rows.collect()] == [None if t is None else html.unescape(t) for t in texts]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_unescape_series(CASE WHEN Contains(t" in plan and "regexp_extract_all" in plan
