@@ -13,7 +13,7 @@ from govlattice.operators.prompts import scan_prompts
 from govlattice.operators.retrieval import nearest_of_small_corpus
 from govlattice.plans import impact_report as R
 from govlattice.rules.levels import LEGAL_BASIS_LABEL_PT, LEGAL_BASES
-from govlattice.session import table
+from govlattice.session import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -97,8 +97,10 @@ def report_audit_chain(spark, base):
     rows = R.report_audit_rows(reports, keep=["risk_level"])
     from govlattice.functions.scale import dense_position
 
+    # Written once: places are counted and given in two passes, and each would make the reports anew.
+    events = cut_lineage(rows.select("project_id", "event_type", "actor", "payload_json", F.col("risk_level").alias("chain_id")))
     placed = dense_position(
-        rows.select("project_id", "event_type", "actor", "payload_json", F.col("risk_level").alias("chain_id")),
+        events,
         ["chain_id"],
         ["project_id"],
         F.floor(F.col("project_id") / 1024),
