@@ -1,7 +1,8 @@
 """Exact cosine retrieval over dense vectors and over hashed TF-IDF texts.
 
 Queries are tables of any size. Dense rows are packed into chunks where they
-are and meet blocks of queries as matrix products. Texts are searched through
+are and meet blocks of queries as matrix products. So do the sparse vectors of
+texts while the queries are few blocks. More queries search the texts through
 an inverted index whose postings lie in blocks of falling impact: the first
 blocks give each query a threshold, upper bounds then rule out most blocks and
 documents, and only what is left is scored in full. Nothing but counts comes
@@ -211,6 +212,11 @@ SLACK = 2.0 * 10**-ROUND
 PROBE = 64
 # Part of the threshold that unread terms may make up: the less, the more lists are read, and the fewer texts stay.
 UNREAD = 0.25
+# Blocks of queries that meet every text; more are searched through postings.
+BLOCKS_SCANNED = 8
+TEXTS_PER_CHUNK = 1_024
+# Products of weights that are summed at once.
+PRODUCTS = 1 << 20
 
 
 def impact_postings(index: DataFrame, item: str) -> DataFrame:
@@ -298,6 +304,100 @@ def _full_scores(pairs: DataFrame, vectors: DataFrame, index: DataFrame, item: s
     return both.mapInArrow(score, f"query_id bigint, {item} bigint, score double")
 
 
+def _by_postings(vectors: DataFrame, index: DataFrame, item: str, k: int) -> DataFrame:
+    """``query_id``, item, ``score`` of a superset of the k best texts of every query, through postings."""
+    postings = cut_lineage(impact_postings(index, item))
+    # At most 65,536 buckets, each with a few dozen levels.
+    stats = postings.groupBy("bucket", "level").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("n"))
+    terms = vectors.select("query_id", F.explode(F.arrays_zip("buckets", "weights")).alias("_t"))
+    terms = terms.select("query_id", F.col("_t.buckets").alias("bucket"), F.col("_t.weights").alias("qw")).filter("qw > 0")
+    blocks = cut_lineage(_bounded_blocks(terms, stats))
+    thresholds = cut_lineage(_thresholds(blocks, postings, vectors, index, item, k))
+    return _full_scores(_promising(blocks, thresholds, postings, item), vectors, index, item)
+
+
+def _sparse_chunks(index: DataFrame, item: str) -> DataFrame:
+    """Sparse vectors packed where they are: ``ids``, ``sizes``, and the flat ``b`` and ``w``."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_PER_CHUNK):
+                ids, b, w = batch.slice(at, TEXTS_PER_CHUNK).columns
+                lists = [ids, b.value_lengths(), b.flatten(), w.flatten()]
+                arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["ids", "sizes", "b", "w"])
+
+    rows = index.select(item, "buckets", "weights").filter(F.col(item).isNotNull())
+    return rows.mapInArrow(pack, "ids array<bigint>, sizes array<int>, b array<int>, w array<double>")
+
+
+def _products(b: np.ndarray, w: np.ndarray, row: np.ndarray, n: int, qb: np.ndarray, qw: np.ndarray, qrow: np.ndarray, m: int) -> np.ndarray:
+    """Sums of the products of equal buckets, n texts by m queries, a bounded number of products at a time."""
+    order = np.argsort(qb, kind="stable")
+    qb, qw, qrow = qb[order], qw[order], qrow[order]
+    first = np.searchsorted(qb, b)
+    met = np.searchsorted(qb, b, side="right") - first
+    b, w, row, first, met = (x[met > 0] for x in (b, w, row, first, met))
+    sums = np.zeros(n * m)
+    part = np.cumsum(met) // PRODUCTS
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    for start, end in zip(starts, [*starts[1:], len(part)]):
+        many = met[start:end]
+        own = np.repeat(np.arange(start, end), many)
+        other = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + first[own]
+        sums += np.bincount(row[own] * m + qrow[other], w[own] * qw[other], n * m)
+    return sums.reshape(n, m)
+
+
+def _scanned(vectors: DataFrame, index: DataFrame, item: str, k: int, many: int) -> DataFrame:
+    """``query_id``, item, ``score`` of the k best texts of every chunk, for every query that shares a word with them.
+
+    A chunk of texts meets a block of queries at a time, so a task holds no more
+    of a larger corpus, and the texts are not moved.
+    """
+    number = F.pmod(F.xxhash64("query_id"), F.lit(many)).cast("int").alias("block")
+    asked = vectors.filter("query_id IS NOT NULL").groupBy(number).agg(
+        F.collect_list(F.struct("query_id", "buckets", "weights")).alias("_q")
+    )
+    blocks = asked.select(
+        F.col("_q.query_id").alias("asked"),
+        F.transform("_q", lambda q: F.size(q["buckets"])).alias("lengths"),
+        F.flatten("_q.buckets").alias("qb"),
+        F.flatten("_q.weights").alias("qw"),
+    )
+    met = _sparse_chunks(index, item).crossJoin(F.broadcast(blocks))
+
+    def best(ids, sizes, b, w, asked, lengths, qb, qw) -> tuple[np.ndarray, ...]:
+        n, m = len(ids), len(asked)
+        ends, q_ends = np.cumsum(sizes), np.cumsum(lengths)
+        row, qrow = np.repeat(np.arange(n), sizes), np.repeat(np.arange(m), lengths)
+        sums = _products(b, w, row, n, qb, qw, qrow, m)
+        least = np.partition(sums, n - k, axis=0)[n - k] if n > k else np.zeros(m)
+        at, of = np.nonzero((sums > 0) & (sums >= least - SLACK))
+        scores = np.empty(len(at))
+        for i, (text, query) in enumerate(zip(at, of)):
+            # Summed as in _full_scores.
+            own = slice(ends[text] - sizes[text], ends[text])
+            other = slice(q_ends[query] - lengths[query], q_ends[query])
+            spot = np.searchsorted(b[own], qb[other])
+            spot[spot == sizes[text]] = 0
+            hit = b[own][spot] == qb[other]
+            scores[i] = (qw[other][hit] * w[own][spot[hit]]).sum()
+        scores = np.round(scores, ROUND)
+        order = np.lexsort((ids[at], -scores, of))
+        place = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        order = order[place < k]
+        return asked[of[order]], ids[at[order]], scores[order]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = [c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in best(*held)], ["query_id", item, "score"])
+
+    return met.mapInArrow(score, f"query_id bigint, {item} bigint, score double")
+
+
 def _filled(ranked: DataFrame, queries: DataFrame, index: DataFrame, item: str, k: int) -> DataFrame:
     """Queries with fewer than k texts get the smallest other items, with score 0."""
     counts = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -329,15 +429,9 @@ def search_index(
     held = cut_lineage(index)
     named = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(text).alias("text"))
     vectors = cut_lineage(build_text_index(named, "query_id", "text", idf))
-    postings = cut_lineage(impact_postings(held, item))
-    # At most 65,536 buckets, each with a few dozen levels.
-    stats = postings.groupBy("bucket", "level").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("n"))
-    terms = vectors.select("query_id", F.explode(F.arrays_zip("buckets", "weights")).alias("_t"))
-    terms = terms.select("query_id", F.col("_t.buckets").alias("bucket"), F.col("_t.weights").alias("qw")).filter("qw > 0")
-    blocks = cut_lineage(_bounded_blocks(terms, stats))
-    thresholds = cut_lineage(_thresholds(blocks, postings, vectors, held, item, k))
-    pairs = _promising(blocks, thresholds, postings, item)
-    ranked = cut_lineage(_top_k(_full_scores(pairs, vectors, held, item), item, k))
+    many = -(-vectors.count() // QUERIES_PER_BLOCK) or 1
+    found = _scanned(vectors, held, item, k, many) if many <= BLOCKS_SCANNED else _by_postings(vectors, held, item, k)
+    ranked = cut_lineage(_top_k(found, item, k))
     return _filled(ranked, vectors.select("query_id"), held, item, k)
 
 

@@ -111,3 +111,23 @@ def test_blocks_of_dense_queries(spark, monkeypatch, held):
             doc, score = found[i, rank]
             assert score == pytest.approx(scores[i, j], abs=1e-4) and abs(scores[i, doc] - scores[i, j]) < 2e-6
     assert R.nearest_vectors(corpus, asked.filter(F.lit(False)), 4).count() == 0
+
+
+@pytest.mark.parametrize("scanned", [8, 0])
+def test_texts_meet_few_queries_where_they_are(spark, monkeypatch, scanned):
+    """A corpus is packed chunk by chunk; postings, which are sorted and gathered, are for many queries only."""
+    monkeypatch.setattr(R, "BLOCKS_SCANNED", scanned)
+    monkeypatch.setattr(R, "TEXTS_PER_CHUNK", 23)
+    monkeypatch.setattr(R, "PRODUCTS", 50)
+    monkeypatch.setattr(R, "QUERIES_PER_BLOCK", 100)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    docs = {i: " ".join(rng.choice(words, rng.integers(0, 30))) for i in range(300)}
+    docs |= {1_000 + i: docs[i] for i in range(40)}
+    queries = {q: " ".join(rng.choice(words, rng.integers(0, 7))) for q in range(250)} | {900: "unheard", 901: docs[7]}
+    corpus = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    asked = spark.createDataFrame(list(queries.items()), "query_id bigint, text string")
+    built, postings = [], R.impact_postings
+    monkeypatch.setattr(R, "impact_postings", lambda *a: built.append(a) or postings(*a))
+    matches(R.retrieve(corpus, asked, "doc_id", k=4).collect(), plain_search(docs, queries, 4))
+    assert bool(built) == (scanned == 0)
