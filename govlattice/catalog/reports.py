@@ -92,13 +92,13 @@ def report_lines(spark, base):
 
 @query("report_audit_chain")
 def report_audit_chain(spark, base):
-    """Audit events of the reports, sealed in one chain per risk level."""
+    """Audit events of the reports, sealed in one linear chain per risk level."""
     reports = _reports(spark, base)
     rows = R.report_audit_rows(reports, keep=["risk_level"])
     from govlattice.functions.scale import dense_position
 
     # Written once: places are counted and given in two passes, and each would make the reports anew.
-    events = cut_lineage(rows.select("project_id", "event_type", "actor", "payload_json", F.col("risk_level").alias("chain_id")))
+    events = cut_lineage(rows.select("project_id", "event_type", "actor", "timestamp", "payload_json", F.col("risk_level").alias("chain_id")))
     placed = dense_position(
         events,
         ["chain_id"],
@@ -106,9 +106,10 @@ def report_audit_chain(spark, base):
         F.floor(F.col("project_id") / 1024),
         "seq",
     )
-    body = A.event_body(F.col("event_type"), F.col("actor"), F.col("payload_json"))
-    sealed = A.seal(placed, "chain_id", "seq", body)
-    return A.verify_chains(A.verify_rows(sealed, "chain_id", "seq", body), "chain_id", "seq")
+    body = A.event_body(F.col("event_type"), F.col("actor"), F.col("timestamp"), F.col("payload_json"))
+    sealed = A.seal(placed, "chain_id", "seq", body, segment_rows=None)
+    rows = A.verify_rows(sealed, "chain_id", "seq", body, segment_rows=None)
+    return A.verify_chains(rows, "chain_id", "seq")
 
 
 REF_SQL = TFIDF_SQL.replace("side = 'd' GROUP BY 1)", "side = 'q' GROUP BY 1)").replace(

@@ -50,6 +50,11 @@ def canonical_json(pairs: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[pairs[k].alias(k) for k in sorted(pairs)]))
 
 
+def utc_text(at: Column) -> Column:
+    """A time as events carry it."""
+    return F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
 def segment_start(chain: Column, segment: Column) -> Column:
     """Hash that a segment starts from; the genesis hash for the first one."""
     place = F.concat_ws("\x1f", F.lit(GENESIS), chain.cast("string"), segment.cast("string"))
@@ -67,18 +72,20 @@ def seal(
 
     Rows are dealt out by segment and hashed in order as they pass by, so
     nothing is gathered, whatever the length of a segment. With
-    ``segment_rows=None`` a chain is one segment: the linear chain, which only
-    one task can hash.
+    ``segment_rows=None`` a chain is one segment: the linear chain, in which
+    every event carries the hash of the one before and which only one task can
+    hash. Bodies are put together behind the shuffle, which moves events only.
     """
     segment = F.floor(F.col(seq) / segment_rows).cast("bigint") if segment_rows else F.lit(0).cast("bigint")
-    rows = events.select(
+    keyed = events.withColumns({"_chain": F.col(chain).cast("string"), "_segment": segment})
+    rows = keyed.repartition("_chain", "_segment").sortWithinPartitions("_chain", "_segment", F.col(seq))
+    dealt = rows.select(
         F.struct(*events.columns).alias("_row"),
-        F.col(chain).cast("string").alias("_chain"),
-        segment.alias("segment"),
-        F.col(seq).alias("_at"),
+        "_chain",
+        F.col("_segment").alias("segment"),
+        segment_start(F.col("_chain"), F.col("_segment")).alias("_start"),
         body.alias("_body"),
-    ).withColumn("_start", segment_start(F.col("_chain"), F.col("segment")))
-    dealt = rows.repartition("_chain", "segment").sortWithinPartitions("_chain", "segment", "_at")
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, prev = None, ""
@@ -95,7 +102,7 @@ def seal(
             arrays = [batch.column(0), batch.column(2), pa.array(before, pa.string()), pa.array(after, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["_row", "segment", "prev_hash", "hash"])
 
-    kind = rows.schema["_row"].dataType.simpleString()
+    kind = dealt.schema["_row"].dataType.simpleString()
     out = dealt.mapInArrow(work, f"_row {kind}, segment bigint, prev_hash string, hash string")
     return out.select("_row.*", "segment", "prev_hash", "hash")
 
@@ -209,9 +216,7 @@ def scan_trail(
     return results.select(
         F.lit(event_type).alias("event_type"),
         F.lit(actor).alias("actor"),
-        F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias(
-            "timestamp"
-        ),
+        utc_text(at).alias("timestamp"),
         canonical_json({**payload, "trace_id": F.col(subject).cast("string")}).alias(
             "payload_json"
         ),
