@@ -198,19 +198,26 @@ ROOTS_SQL = (
 )
 
 
-def _supplier_leaves(spark, base):
+def _supplier_items(spark, base):
     items = table(spark, base, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
-    placed = dense_position(
+    return dense_position(
         items,
         ["l_suppkey"],
         ["l_orderkey", "l_linenumber"],
         F.floor(F.col("l_orderkey") / 8192),
     )
+
+
+def _leaves(items):
     leaf = F.sha2(
         F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")),
         256,
     )
-    return placed.select("l_suppkey", "pos", leaf.alias("hash"))
+    return items.withColumn("hash", leaf)
+
+
+def _supplier_leaves(spark, base):
+    return _leaves(_supplier_items(spark, base)).select("l_suppkey", "pos", "hash")
 
 
 @query("merkle_roots", ROOTS_SQL)
@@ -237,12 +244,14 @@ def merkle_log_roots(spark, base):
 )
 def merkle_log_proofs(spark, base):
     """A proof of every line item in a log of two appends, folded and compared with the root of the peaks."""
-    leaves = cut_lineage(_supplier_leaves(spark, base))
+    # Stored and shuffled without their hashes, which are longer than the items.
+    items = cut_lineage(_supplier_items(spark, base))
+    leaves = _leaves(items).select("l_suppkey", "pos", "hash")
     early = F.col("pos") < 77
     first, peaks = G.append_leaves(None, leaves.filter(early), ["l_suppkey"])
     second, peaks = G.append_leaves(peaks, leaves.filter(~early), ["l_suppkey"])
-    proofs = G.log_proofs(first.unionByName(second), peaks, leaves, ["l_suppkey"], keep=["hash"])
-    return M.verify_proofs(proofs).select("l_suppkey", "pos", F.size("path").cast("bigint").alias("steps"), "valid")
+    proofs = G.log_proofs(first.unionByName(second), peaks, items, ["l_suppkey"], keep=["l_orderkey", "l_linenumber"])
+    return M.verify_proofs(_leaves(proofs)).select("l_suppkey", "pos", F.size("path").cast("bigint").alias("steps"), "valid")
 
 
 CHECKPOINT_SQL = (

@@ -6,7 +6,7 @@ append climbs from the new leaves in blocks of ``2**bits`` nodes and takes the
 peaks on the way in; blocks are exchanged by (log, block), never a whole log.
 The root is folded from the peaks alone and is the same as that of the whole
 tree of :mod:`~govlattice.operators.merkle`, where the last node of an odd level
-is paired with itself. Finished nodes never change, so proofs of any age read
+is paired with itself. Hashes are stored and shuffled as bytes. Finished nodes never change, so proofs of any age read
 stored nodes and the right edge that follows from the peaks.
 """
 
@@ -31,6 +31,22 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _packed(hash_: Column) -> Column:
+    """A hash as it is stored and shuffled: its bytes where it is hexadecimal in small letters, else its text."""
+    raw = F.unhex(hash_)
+    same = F.coalesce(F.lower(F.hex(raw)) == hash_, F.lit(False))
+    return F.struct(F.when(same, raw).alias("raw"), F.when(~same, hash_).alias("text"))
+
+
+def _plain(packed: Column) -> Column:
+    return F.coalesce(F.lower(F.hex(packed["raw"])), packed["text"])
+
+
+def _nodes_packed(climbed: Column) -> Column:
+    made = F.transform(climbed["made"], lambda n: F.struct(n["height"], n["at"], _packed(n["hash"]).alias("hash")))
+    return F.struct(climbed["at"], climbed["nodes"], made.alias("made"), climbed["peaks"])
+
+
 def _climb(level: Column, bits: int, base: int) -> Column:
     """Fold one block upwards: ``nodes`` left at its top, finished ``made`` nodes, ``peaks`` that found no partner.
 
@@ -110,9 +126,9 @@ def append_leaves(
     finished, waiting = [], []
     base, reach, most = 0, 1, 0
     while base == 0 or reach < most:
-        blocks = level.groupBy(*keys, F.shiftright("at", bits).alias("_block")).agg(
-            F.sort_array(F.collect_list(F.struct("at", "hash"))).alias("_items")
-        )
+        blocks = level.select(*keys, "at", _packed(F.col("hash")).alias("hash")).groupBy(
+            *keys, F.shiftright("at", bits).alias("_block")
+        ).agg(F.sort_array(F.collect_list(F.struct("at", "hash"))).alias("_items"))
         # The peaks of these heights stand in the block that the log's next node falls into.
         here = old.filter((F.col("height") >= base) & (F.col("height") < base + bits)).groupBy(
             *keys, F.shiftright(F.shiftright("leaves", base), bits).alias("_block")
@@ -124,21 +140,29 @@ def append_leaves(
         )
         block = F.struct(
             F.coalesce(F.get("_items", F.lit(0))["at"], F.lit(0)).alias("at"),
-            F.coalesce(F.transform("_items", lambda x: x["hash"]), F.array().cast("array<string>")).alias("hashes"),
+            F.coalesce(F.transform("_items", lambda x: _plain(x["hash"])), F.array().cast("array<string>")).alias("hashes"),
             F.coalesce("_old", F.array().cast(f"array<{NODE}>")).alias("old"),
         )
         # The leaves of a block are stored along with its nodes: the append's only copy of them.
         own = [F.col("_items").alias("_own"), (F.element_at("_items", -1)["at"] + 1).alias("_end")] if base == 0 else []
         climbed = cut_lineage(
-            joined.withColumn("_b", block).select(*keys, "_block", *own, _climb(F.col("_b"), bits, base).alias("_c"))
+            joined.withColumn("_b", block).select(
+                *keys, "_block", *own, _bound(_climb(F.col("_b"), bits, base), _nodes_packed).alias("_c")
+            )
         )
         if base == 0:
             finished.append(
-                climbed.select(*keys, F.explode("_own").alias("_n")).select(*keys, F.lit(0).alias("height"), "_n.at", "_n.hash")
+                climbed.select(*keys, F.explode("_own").alias("_n")).select(
+                    *keys, F.lit(0).alias("height"), "_n.at", _plain(F.col("_n.hash")).alias("hash")
+                )
             )
             grown = climbed.filter("_end IS NOT NULL").groupBy(*keys).agg(F.max("_end").alias("leaves"))
             most = grown.agg(F.max("leaves").alias("m")).first()["m"] or 0
-        finished.append(climbed.select(*keys, F.explode("_c.made").alias("_n")).select(*keys, "_n.*"))
+        finished.append(
+            climbed.select(*keys, F.explode("_c.made").alias("_n")).select(
+                *keys, "_n.height", "_n.at", _plain(F.col("_n.hash")).alias("hash")
+            )
+        )
         waiting.append(climbed.select(*keys, F.explode("_c.peaks").alias("_n")).select(*keys, "_n.*"))
         level = climbed.filter(F.size("_c.nodes") > 0).select(
             *keys, F.col("_block").alias("at"), F.get("_c.nodes", F.lit(0)).alias("hash")
@@ -215,7 +239,9 @@ def _siblings(levels: Column, block: Column, base: int, at: Column, leaves: Colu
 
 def _blocks_of(nodes: DataFrame, keys: list[str], base: int, bits: int) -> DataFrame:
     """``levels`` of the blocks whose lowest nodes have height ``base``; of nodes in one place the last by ``_now`` counts."""
-    here = nodes.filter((F.col("height") >= base) & (F.col("height") < base + bits)).withColumn("_k", F.col("height") - base)
+    here = nodes.filter((F.col("height") >= base) & (F.col("height") < base + bits)).select(
+        *keys, (F.col("height") - base).alias("_k"), "at", "_now", _packed(F.col("hash")).alias("hash")
+    )
     blocks = here.groupBy(*keys, F.expr(f"shiftright(at, {bits} - _k)").alias("_block")).agg(
         F.array_sort(F.collect_list(F.struct("_k", "at", "_now", "hash"))).alias("_all")
     )
@@ -227,7 +253,10 @@ def _blocks_of(nodes: DataFrame, keys: list[str], base: int, bits: int) -> DataF
     def levels(nodes: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: F.filter(nodes, lambda n: n["_k"] == k))
 
-    return blocks.select(*keys, "_block", _bound(F.filter("_all", is_last), levels).alias("levels"))
+    last = F.transform(
+        F.filter("_all", is_last), lambda n: F.struct(n["_k"].alias("_k"), n["at"].alias("at"), _plain(n["hash"]).alias("hash"))
+    )
+    return blocks.select(*keys, "_block", _bound(last, levels).alias("levels"))
 
 
 def log_proofs(

@@ -137,3 +137,19 @@ def test_a_leaf_without_a_hash_is_a_step(spark):
     steps = {r["pos"]: [s["sibling_hash"] for s in r["path"]] for r in log_proofs(nodes, peaks, leaves, ["log"], bits=2).collect()}
     assert {len(s) for s in steps.values()} == {3}
     assert steps[2][0] is None and steps[5][0] == leaf(1, 4) and steps[5][2] is None
+
+
+def test_hashes_are_stored_as_bytes(spark, monkeypatch):
+    """Any text comes back as it was; hexadecimal ones, in small letters, are stored as half as many bytes."""
+    import govlattice.operators.merkle_log as module
+
+    texts = [leaf(1, 0), "ABCDEF", "abc", "no hash", "", None, "é" * 3, leaf(1, 7)]
+    leaves = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "log int, pos bigint, hash string")
+    seen, keep = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: (seen.append(df), keep(df))[1])
+    nodes, _ = append_leaves(None, leaves, ["log"], bits=2)
+    assert [r["hash"] for r in nodes.filter("height = 0").orderBy("at").collect()] == texts
+    blocks = next(df for df in seen if "_own" in df.columns)
+    stored = [n["hash"] for r in blocks.orderBy("_block").collect() for n in r["_own"]]
+    assert [n["raw"] is not None for n in stored] == [True, False, False, False, True, False, False, True]
+    assert bytes(stored[0]["raw"]).hex() == texts[0] and stored[0]["text"] is None
